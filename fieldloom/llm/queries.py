@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import audio, decontam, langid
 
 QUERIES = {
+    "op1_language": langid.op1_language,
+    "op3_audio": audio.op3_audio,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
