@@ -9,8 +9,9 @@ one-versus-rest kernel ridge regression is solved in it: tasks send the normal
 equations (landmarks x landmarks) of the training sample, never its texts.
 Scoring a batch is two matrix products: presence x landmarks, kernel x weights.
 
-Bounds (parameters): ``landmarks`` and ``sample`` rows per language, chosen by
-the least hash of their text among texts of up to ``fit_chars`` characters.
+Bounds (parameters): ``landmarks`` (over all languages ``most_landmarks``, or
+one each) and ``sample`` rows per language, chosen by
+the least hash of their text among distinct texts of up to ``fit_chars`` characters.
 What is predicted is always the whole text.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
@@ -114,15 +115,19 @@ class Model:
         return names, scores
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landmarks: int = 48, sample: int = 1500, fit_chars: int = 20_000, ridge: float = 1e-3) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landmarks: int = 48, sample: int = 900, fit_chars: int = 20_000, most_landmarks: int = 1200, ridge: float = 1e-3) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= fit_chars))
-    rows = rows.withColumn("order", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    chosen = durable.keep(rows.withColumn("nth", nth).where(F.col("nth") <= landmarks + sample))
-    own = chosen.where(F.col("nth") <= landmarks).orderBy("lang", "nth").collect()
+    # The rows of least hash, found among a share of each language's rows that is about four times as large; copies count once.
+    most = landmarks + sample
+    counts = rows.groupBy("lang").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / (4.0 * most)).alias("one_of"))
+    share = rows.withColumn("order", F.xxhash64("text")).join(counts, "lang").where(F.pmod("order", F.lit(1 << 40)) < F.lit(float(1 << 40)) / F.col("one_of"))
+    share = share.groupBy("lang", "order").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 40)), "text"))
+    chosen = durable.keep(share.withColumn("nth", nth).where(F.col("nth") <= most))
+    own = chosen.where(F.col("nth") <= max(1, min(landmarks, most_landmarks // max(1, chosen.select("lang").distinct().count())))).orderBy("lang", "nth").collect()
     languages = sorted({r.lang for r in own})
     if not languages:
         return Model([], None, None)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, langid
+from . import audio, decontam, htmltree, langid, secrets, simhash
 
 QUERIES = {
     "op1_language": langid.op1_language,
     "op3_audio": audio.op3_audio,
+    "op4_main_text": htmltree.op4_main_text,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_secrets": secrets.op6_secrets,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
