@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, htmltree, langid, secrets, simhash
+from . import audio, decontam, htmltree, langid, linededup, mixing, secrets, simhash
 
 QUERIES = {
     "op1_language": langid.op1_language,
+    "op2_mixing": mixing.op2_mixing,
     "op3_audio": audio.op3_audio,
     "op4_main_text": htmltree.op4_main_text,
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets.op6_secrets,
+    "op7_lines": linededup.op7_lines,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
+    "op2_mixing": mixing.ORACLE_SQL,
     "op10_decontaminate": decontam.ORACLE_SQL,
 }
