@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, htmltree, langid, linededup, mixing, secrets, simhash
+from . import audio, decontam, htmltree, langid, linededup, mixing, phrases, secrets, simhash
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets.op6_secrets,
     "op7_lines": linededup.op7_lines,
+    "op8_phrases": phrases.op8_phrases,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
