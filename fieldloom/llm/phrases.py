@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import arrays, repeats
 
 LENGTH = 50
+#: Text of the documents of one shard at most, unless one document has more.
+SHARD_BYTES = 8_000_000
 _TABLE = arrays.byte_table(8)
 
 
@@ -58,7 +60,7 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
     def make(data, offsets):
         return word_chunk(data, offsets, length)
 
-    held = keyed.join(repeats.recurring(keyed, make, count), ["doc", "row_key"], "left").select("doc", "row_key", "text", "places")
+    held = keyed.join(repeats.recurring(keyed, make, count, SHARD_BYTES), ["doc", "row_key"], "left").select("doc", "row_key", "text", "places")
     kind = "kind int, doc bigint, row_key bigint, start int, stop int, bucket bigint, hashes binary, docs binary, keys binary, places binary"
     names = [x.split()[0] for x in kind.split(", ")]
 
@@ -67,7 +69,7 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
             batch = batch.filter(pa.compute.is_valid(batch.column("places")))
             if not batch.num_rows:
                 continue
-            for ids, keys, chunk, marked in repeats.marked_chunks(batch, make):
+            for _, ids, keys, chunk, marked in repeats.marked_chunks(batch, make, SHARD_BYTES):
                 located = locate(chunk, np.unique(chunk.anchor[marked]))[chunk.anchor]
                 size = chunk.run_to[located] - chunk.run_from[located] + 1
                 run = np.repeat(np.flatnonzero(located), size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, htmltree, langid, linededup, mixing, phrases, secrets, simhash
+from . import audio, decontam, htmltree, langid, linededup, mixing, phrases, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_lines": linededup.op7_lines,
     "op8_phrases": phrases.op8_phrases,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import arrays
 
 GRAM = 8
-#: Bytes of text that a chunk has at most (a longer row is one alone), and text for each bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 1_500_000
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 1_500_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -112,24 +112,25 @@ def group_least(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.minimum.reduceat(values[order], edges)[group], np.maximum.reduceat(values[order], edges)[group]
 
 
-def _split(batch: pa.RecordBatch, make):
+def _split(batch: pa.RecordBatch, make, chunk_bytes: int):
     """First row, row after the last and :class:`Chunk` of the parts of an Arrow batch of documents."""
     data, offsets = arrays.column_bytes(batch.column("text"))
-    for a, b in arrays.chunks(offsets, CHUNK_BYTES):
+    for a, b in arrays.chunks(offsets, chunk_bytes):
         yield a, b, make(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def recurring(docs: DataFrame, make, count: int) -> DataFrame:
+def recurring(docs: DataFrame, make, count: int, chunk_bytes: int) -> DataFrame:
     """``(doc, row_key, places)``: where in each row (by unit) anchors stand that occur in two documents.
 
-    ``make`` turns bytes and row offsets into a :class:`Chunk`.
+    ``make`` turns bytes and row offsets into a :class:`Chunk`; a chunk has at most
+    ``chunk_bytes`` of text, or one longer row.
     """
     kind = "kind int, doc bigint, row_key bigint, place int, bucket bigint, hashes binary, docs binary, keys binary, places binary"
 
     def anchors(batches):
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row_key"))
-            for a, _, chunk in _split(batch, make):
+            for a, _, chunk in _split(batch, make, chunk_bytes):
                 if not len(chunk.row):
                     continue
                 doc, key = ids[a + chunk.row].astype(np.int64), keys[a + chunk.row].astype(np.int64)
@@ -164,19 +165,19 @@ def recurring(docs: DataFrame, make, count: int) -> DataFrame:
     return within.unionByName(across).groupBy("doc", "row_key").agg(F.collect_list("place").alias("places"))
 
 
-def marked_chunks(batch: pa.RecordBatch, make):
-    """``(documents, keys, chunk, is the run's anchor among the row's places)`` of rows that carry ``places``."""
+def marked_chunks(batch: pa.RecordBatch, make, chunk_bytes: int):
+    """``(first row, documents, keys, chunk, is the run's anchor among the row's places)`` of rows that carry ``places``."""
     ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row_key"))
     places = batch.column("places")
     ends, flat = places.offsets.to_numpy().astype(np.int64), places.values.to_numpy(zero_copy_only=False)
-    for a, b, chunk in _split(batch, make):
+    for a, b, chunk in _split(batch, make, chunk_bytes):
         if not len(chunk.row):
             continue
         row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
         own = chunk.first[row] + flat[ends[a] : ends[b]]
         mark = np.zeros(len(chunk.values) + 1, bool)
         mark[own] = True
-        yield ids[a:b].astype(np.int64), keys[a:b].astype(np.int64), chunk, mark[chunk.anchor]
+        yield a, ids[a:b].astype(np.int64), keys[a:b].astype(np.int64), chunk, mark[chunk.anchor]
 
 
 def spans_of(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
