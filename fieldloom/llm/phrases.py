@@ -61,8 +61,7 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
         return word_chunk(data, offsets, length)
 
     held = keyed.join(repeats.recurring(keyed, make, count, SHARD_BYTES), ["doc", "row_key"], "left").select("doc", "row_key", "text", "places")
-    kind = "kind int, doc bigint, row_key bigint, start int, stop int, bucket bigint, hashes binary, docs binary, keys binary, places binary"
-    names = [x.split()[0] for x in kind.split(", ")]
+    names = ["bucket", "hashes", "docs", "keys", "places", "hit_docs", "hit_keys", "hit_starts", "hit_stops"]
 
     def windows(batches):
         for batch in batches:
@@ -80,25 +79,19 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
                 doc, key, place = ids[row], keys[row], (at - chunk.first[row]).astype(np.int32)
                 low, _ = repeats.group_least(hashes, doc)
                 hit = doc > low
-                made = repeats.spans_of(doc[hit], key[hit], place[hit], place[hit] + length)
-                n = len(made["doc"])
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *(pa.array(made[c]) for c in ("doc", "row_key", "start", "stop")), pa.nulls(n, pa.int64()), none, none, none, none], names=names)
+                if hit.any():  # settled here: these only pass through
+                    made = repeats.spans_of(doc[hit], key[hit], place[hit], place[hit] + length)
+                    yield repeats.by_bucket(names, arrays.mix(made["doc"].astype(np.uint64)) % np.uint64(count), {f"hit_{n}": made[c] for n, c in (("docs", "doc"), ("keys", "row_key"), ("starts", "start"), ("stops", "stop"))})
                 left = ~hit
-                sent = repeats.by_bucket(arrays.mix(chunk.hash[run][left]) % np.uint64(count), {"hashes": hashes[left], "docs": doc[left], "keys": key[left], "places": place[left]})
-                n = sent.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())), *sent.columns], names=names)
+                yield repeats.by_bucket(names, arrays.mix(chunk.hash[run][left]) % np.uint64(count), {"hashes": hashes[left], "docs": doc[left], "keys": key[left], "places": place[left]})
 
     def settle(table: pa.Table) -> pa.Table:
         hashes, doc, key, place = (repeats.joined(table, c, t) for c, t in (("hashes", np.uint64), ("docs", np.int64), ("keys", np.int64), ("places", np.int32)))
         low, _ = repeats.group_least(hashes, doc)
         hit = doc > low
-        return pa.table(repeats.spans_of(doc[hit], key[hit], place[hit], place[hit] + length))
+        return repeats.with_passed(table, repeats.spans_of(doc[hit], key[hit], place[hit], place[hit] + length))
 
-    sent = held.mapInArrow(windows, kind)
-    within = sent.where("kind = 1").select("doc", "row_key", "start", "stop")
-    across = sent.where("kind = 0").select("bucket", "hashes", "docs", "keys", "places").groupBy("bucket").applyInArrow(settle, repeats.SPANS)
-    return within.unionByName(across)
+    return held.mapInArrow(windows, repeats.binaries(names)).groupBy("bucket").applyInArrow(settle, repeats.SPANS)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

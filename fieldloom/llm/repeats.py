@@ -86,14 +86,22 @@ def _blobs(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-    """One row for each bucket, with the slices of the columns as binaries."""
+def by_bucket(names: list[str], bucket: np.ndarray, columns: dict[str, np.ndarray], blobs: dict[str, list[bytes]] | None = None) -> pa.RecordBatch | None:
+    """One row for each bucket: the slices of ``columns`` (and the pieces of ``blobs``) as binaries, null under other names."""
     if not len(bucket):
         return None
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int64)), *(_blobs(c[order], edges) for c in columns.values())], names=["bucket", *columns])
+    made = {"bucket": pa.array(bucket[edges[:-1]].astype(np.int64))} | {name: _blobs(c[order], edges) for name, c in columns.items()}
+    for name, pieces in (blobs or {}).items():
+        made[name] = pa.array([b"".join(pieces[k] for k in order[a:b].tolist()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([made.get(n, pa.nulls(len(edges) - 1, pa.binary())) for n in names], names=names)
+
+
+def binaries(names: list[str]) -> str:
+    """Schema of rows by bucket."""
+    return ", ".join(["bucket bigint", *(f"{n} binary" for n in names[1:])])
 
 
 def joined(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -125,7 +133,7 @@ def recurring(docs: DataFrame, make, count: int, chunk_bytes: int) -> DataFrame:
     ``make`` turns bytes and row offsets into a :class:`Chunk`; a chunk has at most
     ``chunk_bytes`` of text, or one longer row.
     """
-    kind = "kind int, doc bigint, row_key bigint, place int, bucket bigint, hashes binary, docs binary, keys binary, places binary"
+    names = ["bucket", "hashes", "docs", "keys", "places", "known_docs", "known_keys", "known_places"]
 
     def anchors(batches):
         for batch in batches:
@@ -137,19 +145,13 @@ def recurring(docs: DataFrame, make, count: int, chunk_bytes: int) -> DataFrame:
                 place = (chunk.anchor - chunk.first[chunk.row]).astype(np.int32)
                 low, high = group_least(chunk.hash, doc)
                 known = low < high
-                if known.any():
-                    n = int(known.sum())
-                    none = pa.nulls(n, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(doc[known]), pa.array(key[known]), pa.array(place[known]), pa.nulls(n, pa.int64()), none, none, none, none], names=[x.split()[0] for x in kind.split(", ")])
+                if known.any():  # nothing to settle: these only pass through
+                    yield by_bucket(names, arrays.mix(doc[known].astype(np.uint64)) % np.uint64(count), {"known_docs": doc[known], "known_keys": key[known], "known_places": place[known]})
                 # Of an anchor known to recur one entry goes out, with place -1.
                 marks = np.unique(chunk.hash[known])
+                none = np.zeros(len(marks), np.int64)
                 send = np.concatenate([chunk.hash[~known], marks])
-                sent = by_bucket(
-                    arrays.mix(send) % np.uint64(count),
-                    {"hashes": send, "docs": np.concatenate([doc[~known], np.zeros(len(marks), np.int64)]), "keys": np.concatenate([key[~known], np.zeros(len(marks), np.int64)]), "places": np.concatenate([place[~known], np.full(len(marks), -1, np.int32)])},
-                )
-                n = sent.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *sent.columns], names=[x.split()[0] for x in kind.split(", ")])
+                yield by_bucket(names, arrays.mix(send) % np.uint64(count), {"hashes": send, "docs": np.concatenate([doc[~known], none]), "keys": np.concatenate([key[~known], none]), "places": np.concatenate([place[~known], np.full(len(marks), -1, np.int32)])})
 
     def settle(table: pa.Table) -> pa.Table:
         hashes, doc, key, place = joined(table, "hashes", np.uint64), joined(table, "docs", np.int64), joined(table, "keys", np.int64), joined(table, "places", np.int32)
@@ -157,12 +159,12 @@ def recurring(docs: DataFrame, make, count: int, chunk_bytes: int) -> DataFrame:
         marked = np.isin(hashes, hashes[~real])
         low, high = group_least(hashes[real], doc[real])
         out = (low < high) | marked[real]
-        return pa.table({"doc": doc[real][out], "row_key": key[real][out], "place": place[real][out]})
+        passed = {"doc": joined(table, "known_docs", np.int64), "row_key": joined(table, "known_keys", np.int64), "place": joined(table, "known_places", np.int32)}
+        settled = {"doc": doc[real][out], "row_key": key[real][out], "place": place[real][out]}
+        return pa.table({n: np.concatenate([passed[n], settled[n]]) for n in passed})
 
-    sent = docs.where(F.col("doc").isNotNull()).mapInArrow(anchors, kind)
-    within = sent.where("kind = 1").select("doc", "row_key", "place")
-    across = sent.where("kind = 0").select("bucket", "hashes", "docs", "keys", "places").groupBy("bucket").applyInArrow(settle, "doc bigint, row_key bigint, place int")
-    return within.unionByName(across).groupBy("doc", "row_key").agg(F.collect_list("place").alias("places"))
+    sent = docs.where(F.col("doc").isNotNull()).mapInArrow(anchors, binaries(names))
+    return sent.groupBy("bucket").applyInArrow(settle, "doc bigint, row_key bigint, place int").groupBy("doc", "row_key").agg(F.collect_list("place").alias("places"))
 
 
 def marked_chunks(batch: pa.RecordBatch, make, chunk_bytes: int):
@@ -201,6 +203,12 @@ def spans_of(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarra
 SPANS = "doc bigint, row_key bigint, start int, stop int"
 
 
+def with_passed(table: pa.Table, spans: dict[str, np.ndarray]) -> pa.Table:
+    """Spans that a bucket settled, and those that came with it (columns ``hit_...``)."""
+    passed = {c: joined(table, f"hit_{n}", t) for c, n, t in (("doc", "docs", np.int64), ("row_key", "keys", np.int64), ("start", "starts", np.int32), ("stop", "stops", np.int32))}
+    return pa.table({c: np.concatenate([passed[c], spans[c]]) for c in passed})
+
+
 def gathered(spans: DataFrame) -> DataFrame:
     """``(doc, row_key, spans)``, the spans in order (they may overlap)."""
     return spans.groupBy("doc", "row_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))

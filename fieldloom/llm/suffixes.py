@@ -163,8 +163,7 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
         return byte_chunk(data, offsets, length)
 
     held = keyed.join(repeats.recurring(keyed, make, count, CHUNK_BYTES), ["doc", "row_key"], "left").select("doc", "row_key", "text", "places")
-    kind = "kind int, doc bigint, row_key bigint, start int, stop int, bucket bigint, anchors binary, docs binary, keys binary, starts binary, sizes binary, texts binary"
-    names = [x.split()[0] for x in kind.split(", ")]
+    names = ["bucket", "anchors", "docs", "keys", "starts", "sizes", "texts", "hit_docs", "hit_keys", "hit_starts", "hit_stops"]
 
     def stretches(batches):
         for batch in batches:
@@ -185,30 +184,21 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
                     if d < least.get(text, d + 1):
                         least[text] = d
                 hit = doc > np.fromiter((least[t] for t in texts), np.int64, len(texts))
-                made = repeats.spans_of(doc[hit], key[hit], start[hit], start[hit] + (high - low)[hit])
-                n = len(made["doc"])
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *(pa.array(made[c]) for c in ("doc", "row_key", "start", "stop")), pa.nulls(n, pa.int64()), *[none] * 6], names=names)
+                if hit.any():  # settled here: these only pass through
+                    made = repeats.spans_of(doc[hit], key[hit], start[hit], start[hit] + (high - low)[hit])
+                    yield repeats.by_bucket(names, arrays.mix(made["doc"].astype(np.uint64)) % np.uint64(count), {f"hit_{n}": made[c] for n, c in (("docs", "doc"), ("keys", "row_key"), ("starts", "start"), ("stops", "stop"))})
                 left = np.flatnonzero(~hit)
                 anchor = chunk.hash[run][left]
-                bucket = arrays.mix(anchor) % np.uint64(count)
-                sent = repeats.by_bucket(bucket, {"anchors": anchor, "docs": doc[left], "keys": key[left], "starts": start[left], "sizes": (high - low)[left].astype(np.int32)})
-                order = np.argsort(bucket, kind="stable")
-                edges = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order)).tolist()
-                blobs = [b"".join(texts[left[k]] for k in order[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                n = sent.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())), *sent.columns, pa.array(blobs, pa.binary())], names=names)
+                yield repeats.by_bucket(names, arrays.mix(anchor) % np.uint64(count), {"anchors": anchor, "docs": doc[left], "keys": key[left], "starts": start[left], "sizes": (high - low)[left].astype(np.int32)}, {"texts": [texts[k] for k in left.tolist()]})
 
     def settle(table: pa.Table) -> pa.Table:
         anchor, doc, key, start, size = (repeats.joined(table, c, t) for c, t in (("anchors", np.uint64), ("docs", np.int64), ("keys", np.int64), ("starts", np.int32), ("sizes", np.int32)))
-        raw, ends = b"".join(table.column("texts").to_pylist()), np.cumsum(size, dtype=np.int64)
+        raw, ends = b"".join(x for x in table.column("texts").to_pylist() if x), np.cumsum(size, dtype=np.int64)
         texts = [raw[b - s : b] for b, s in zip(ends.tolist(), size.tolist(), strict=True)]
-        return pa.table(_settle(anchor, doc, key, start.astype(np.int64), texts, length))
+        spans = _settle(anchor, doc, key, start.astype(np.int64), texts, length) if texts else repeats.spans_of(doc, key, start, start)
+        return repeats.with_passed(table, spans)
 
-    sent = held.mapInArrow(stretches, kind)
-    within = sent.where("kind = 1").select("doc", "row_key", "start", "stop")
-    across = sent.where("kind = 0").drop("kind", "doc", "row_key", "start", "stop").groupBy("bucket").applyInArrow(settle, repeats.SPANS)
-    return within.unionByName(across)
+    return held.mapInArrow(stretches, repeats.binaries(names)).groupBy("bucket").applyInArrow(settle, repeats.SPANS)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
