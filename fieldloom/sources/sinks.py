@@ -43,7 +43,7 @@ class Versions:
         return sorted(s.getPath().getName() for s in fs.listStatus(path(self.folder)) if s.getPath().getName().startswith("v_"))
 
     def current(self) -> str | None:
-        pointer = f"{self.folder}/_current"
+        pointer = f"{self.folder}/current.txt"
         return self.spark.read.text(pointer).first()[0] if exists(self.spark, pointer) else None
 
     def read(self) -> DataFrame:
@@ -55,13 +55,13 @@ class Versions:
     def point_to(self, name: str) -> None:
         """Make a version the current one, in one rename where the file system has that."""
         path, fs = self._fs()
-        staged = path(f"{self.folder}/_next_{name}")
+        staged = path(f"{self.folder}/next_{name}.txt")
         stream = fs.create(staged, True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        fs.delete(path(f"{self.folder}/_current"), False)
-        if not fs.rename(staged, path(f"{self.folder}/_current")):
-            raise OSError(f"{self.folder}/_current could not be replaced")
+        fs.delete(path(f"{self.folder}/current.txt"), False)
+        if not fs.rename(staged, path(f"{self.folder}/current.txt")):
+            raise OSError(f"{self.folder}/current.txt could not be replaced")
 
     def write(self, df: DataFrame, rows: int | None = None) -> str:
         """A new version of ``df``, current once it has been verified. Returns its name."""
