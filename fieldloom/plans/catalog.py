@@ -94,14 +94,14 @@ _STATE = f"""{_MONTH}, st AS (SELECT state, year, month, count(DISTINCT ibge_cod
   avg(max_consecutive_dry_days) AS average_max_consecutive_dry_days, max(max_consecutive_dry_days) AS state_max_consecutive_dry_days FROM w GROUP BY ALL)"""
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles at a fixed number of digits, so that the order of summing doesn't show."""
     return df.withColumns({n: F.round(n, digits) for n, kind in df.dtypes if kind == "double"})
 
 
-_STATE_SELECT = """SELECT state, year, month, municipality_count, round(average_municipality_rainfall, 6) AS average_municipality_rainfall, round(average_temperature, 6) AS average_temperature, round(average_humidity, 6) AS average_humidity,
-  round(average_rainy_days, 6) AS average_rainy_days, round(average_dry_days, 6) AS average_dry_days, round(state_max_daily_rainfall, 6) AS state_max_daily_rainfall, round(average_temperature_std, 6) AS average_temperature_std,
-  round(average_max_consecutive_dry_days, 6) AS average_max_consecutive_dry_days, state_max_consecutive_dry_days FROM st"""
+_STATE_SELECT = """SELECT state, year, month, municipality_count, round(average_municipality_rainfall, 9) AS average_municipality_rainfall, round(average_temperature, 9) AS average_temperature, round(average_humidity, 9) AS average_humidity,
+  round(average_rainy_days, 9) AS average_rainy_days, round(average_dry_days, 9) AS average_dry_days, round(state_max_daily_rainfall, 9) AS state_max_daily_rainfall, round(average_temperature_std, 9) AS average_temperature_std,
+  round(average_max_consecutive_dry_days, 9) AS average_max_consecutive_dry_days, state_max_consecutive_dry_days FROM st"""
 
 
 @query(f"{_STATE} {_STATE_SELECT}")
@@ -115,7 +115,7 @@ ws AS (SELECT state, lpad((hy % 100)::VARCHAR, 2, '0') || '-' || lpad(((hy + 1)
   sum(average_rainy_days) AS total_growing_season_rainy_days, sum(average_dry_days) AS total_growing_season_dry_days, max(state_max_daily_rainfall) AS maximum_daily_rainfall, avg(average_temperature_std) AS average_temperature_std,
   avg(average_max_consecutive_dry_days) AS average_max_consecutive_dry_days, max(state_max_consecutive_dry_days) AS maximum_consecutive_dry_days, count(*) = 8 AS has_complete_growing_season FROM g GROUP BY state, hy)"""
 _WS_ROUND = ("total_growing_season_rainfall", "average_growing_season_temperature", "average_growing_season_humidity", "total_growing_season_rainy_days", "total_growing_season_dry_days", "maximum_daily_rainfall", "average_temperature_std", "average_max_consecutive_dry_days")
-_WS_REPLACE = "* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _WS_ROUND) + ")"
+_WS_REPLACE = "* REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in _WS_ROUND) + ")"
 
 
 @query(f"{_WEATHER} SELECT {_WS_REPLACE} FROM ws")
@@ -142,7 +142,7 @@ def _seasons(spark, sf_dir):
 
 
 _JOINED = f"""{_WEATHER}, {_HARVEST}, wh AS (SELECT state, harvest_season, make_date(2000 + substr(harvest_season, 1, 2)::INT - 1, 9, 1) AS growing_season_start, make_date(2000 + substr(harvest_season, 1, 2)::INT, 4, 30) AS growing_season_end,
-  latest_report_date, matched_cutoff_date, municipality_count, growing_season_month_count, has_complete_growing_season, {", ".join(f"round({c}, 6) AS {c}" for c in _WS_ROUND)},
+  latest_report_date, matched_cutoff_date, municipality_count, growing_season_month_count, has_complete_growing_season, {", ".join(f"round({c}, 9) AS {c}" for c in _WS_ROUND)},
   maximum_consecutive_dry_days, harvest_period_count, cumulative_crush_tonnes, 'NASA POWER' AS weather_source, 'UNICA' AS harvest_source FROM ws JOIN hsum USING (state, harvest_season))"""
 
 
@@ -159,17 +159,17 @@ def season_rank(spark, sf_dir):
 _TREND_SQL = " UNION ALL ".join(f"SELECT state, harvest_season, '{t}' AS metric, '{u}' AS unit, {c}::DOUBLE / {s} AS value FROM wh" for c, t, u, s in ranking.TREND)
 
 
-@query(f"{_JOINED}, tr AS ({_TREND_SQL}) SELECT * REPLACE (round(value, 5) AS value) FROM tr")
+@query(f"{_JOINED}, tr AS ({_TREND_SQL}) SELECT * REPLACE (round(value, 9) AS value) FROM tr")
 def trend_series(spark, sf_dir):
-    return _rounded(ranking.trend(_rounded(_seasons(spark, sf_dir))), 5)
+    return _rounded(ranking.trend(_rounded(_seasons(spark, sf_dir))))
 
 
 @query(f"""{_JOINED}, tr AS ({_TREND_SQL}), rk AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value DESC) AS rank, count(*) OVER (PARTITION BY metric) AS total,
   row_number() OVER (PARTITION BY metric ORDER BY state DESC, harvest_season DESC) AS n FROM tr)
-SELECT state, harvest_season, metric, unit, round(value, 5) AS value, rank, total, rank || CASE WHEN rank % 100 BETWEEN 10 AND 20 THEN 'th' WHEN rank % 10 = 1 THEN 'st' WHEN rank % 10 = 2 THEN 'nd' WHEN rank % 10 = 3 THEN 'rd' ELSE 'th' END AS rank_text,
+SELECT state, harvest_season, metric, unit, round(value, 9) AS value, rank, total, rank || CASE WHEN rank % 100 BETWEEN 10 AND 20 THEN 'th' WHEN rank % 10 = 1 THEN 'st' WHEN rank % 10 = 2 THEN 'nd' WHEN rank % 10 = 3 THEN 'rd' ELSE 'th' END AS rank_text,
   CASE WHEN rank <= 2 THEN '#2E7D32' WHEN rank >= total - 1 THEN '#C62828' ELSE '#616161' END AS color FROM rk WHERE n = 1""")
 def rank_panel(spark, sf_dir):
-    return _rounded(ranking.rank_panel(_rounded(_seasons(spark, sf_dir))), 5)
+    return _rounded(ranking.rank_panel(_rounded(_seasons(spark, sf_dir))))
 
 
 @query()

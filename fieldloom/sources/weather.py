@@ -87,7 +87,7 @@ def responses(requests: DataFrame, transport: Callable[[dict], tuple[int, str]],
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "body", "error"])
 
-    schema = out.withColumns({"body": F.lit(""), "error": F.lit("")}).schema
+    schema = out.withColumns({n: F.lit(None).cast("string") for n in ("body", "error")}).schema
     return out.repartition(partitions).mapInArrow(run, schema)
 
 
