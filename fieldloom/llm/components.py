@@ -8,29 +8,38 @@ from pyspark.sql import functions as F
 from . import durable
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, exact: bool = True) -> DataFrame:
     """``(id, component)`` for every id that ``links`` names; the component is its least id.
 
-    Alternating large-star and small-star rounds: links to larger neighbours
-    move to the least neighbour, then links to smaller ones do, until nothing
-    changes. A key that has very many links costs a partial aggregate and a
+    Rounds of stars, with every link kept as (larger, smaller) id: a link's smaller
+    end moves on to that id's own least neighbour, then all links of an id move to
+    the least of them, until nothing changes. A key that has very many links costs a partial aggregate and a
     join on one side only, which can be split. Every round is written to the
     checkpoint folder. Null ids and links from an id to itself are no links.
+
+    With ``exact=False`` it stops after ``rounds``: ids of one component are
+    connected then, though connected ids may still be in several.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     stars = durable.keep(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(high.alias("x"), low.alias("y")).distinct())
     before = None
     for _ in range(rounds):
-        both = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.where(F.col("y") > F.col("x")).join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        least = stars.groupBy("x").agg(F.min("y").alias("m"))
+        # Of an id with smaller neighbours, the least of them is the least of all.
+        above = stars.select(F.col("y").alias("x"), F.col("x").alias("y")).join(least, "x", "left").select(F.col("y").alias("x"), F.coalesce("m", "x").alias("y"))
+        large = above.where(F.col("x") > F.col("y"))
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x")
-        stars = durable.keep(least.select("x", F.col("m").alias("y")).unionByName(small.where(F.col("y") != F.col("m")).select(F.col("y").alias("x"), F.col("m").alias("y"))).distinct())
+        stars = durable.keep(small.select("x", F.col("m").alias("y")).unionByName(small.where(F.col("y") != F.col("m")).select(F.col("y").alias("x"), F.col("m").alias("y"))).distinct())
+        if not exact:
+            continue
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)")), F.max(F.xxhash64("x", "y"))).first()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
+        if exact:
+            raise RuntimeError(f"no fixed point after {rounds} rounds")
+    if not exact:
+        stars = stars.groupBy("x").agg(F.min("y").alias("y"))
     return stars.select(F.col("x").alias("id"), F.col("y").alias("component")).unionByName(stars.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct())
