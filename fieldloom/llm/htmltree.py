@@ -232,7 +232,7 @@ def marginals(forest: Forest, node: np.ndarray, edge: np.ndarray) -> tuple[np.nd
     return both[:, 1] / both.sum(1), (joint / joint.sum((1, 2), keepdims=True)).reshape(n, 4)
 
 
-def labelled_pages(count: int = 240, seed: int = 4) -> list[str]:
+def labelled_pages(count: int = 300, seed: int = 4) -> list[str]:
     """Pages made by layout rules; elements of the main text carry ``data-main``."""
     r = random.Random(seed)
     parts = "an ber chi dor el fi gu ha il jo ka lu mi no os pra qui re st tu un vo wen xi yel zu é ß ñ ö".split()
@@ -296,6 +296,8 @@ def labelled_pages(count: int = 240, seed: int = 4) -> list[str]:
     pages = []
     for _ in range(count):
         body = f"<h1 data-main>{phrase(1, 15)}</h1>" * (r.random() < 0.85) + "".join(paragraph() for _ in range(r.choice([0, 1, 2, 4, 8, 14])))
+        for _ in range(r.choice([0, 0, 0, 0, 1, 1, 2, 3, 5])):  # wrappers
+            body = f"<{(t := r.choice(['div', 'div', 'section']))}{r.choice(['', '', ' class=row', ' class=wrap', ' id=c1'])} data-main>{body}</{t}>"
         kind = r.random()
         hint = r.choice(_HINTS[8].split())
         if kind < 0.45:
@@ -308,7 +310,11 @@ def labelled_pages(count: int = 240, seed: int = 4) -> list[str]:
             body = f"<div data-main>{body}</div>" if r.random() < 0.7 else f"<section data-main>{body}</section>"
         page = f"<html><head><title>{phrase(1, 8)}</title><style>p{{}}</style></head><body data-main>{clutter('top')}{body}{clutter('bottom')}</body></html>"
         pages.append(page)
-    pages += [f"<p data-main>{phrase()}</p><p data-main>{phrase()}</p>" for _ in range(4)]
+    for k in range(24):  # fragments, down to a word
+        inner = "".join(f"<p data-main>{phrase(1, r.choice([1, 3, 30]))}</p>" for _ in range(r.randint(1, 2)))
+        tag = ("article", "main", "div", "div")[k % 4]
+        pages.append(inner if k < 4 else f"<{tag} data-main>{inner}</{tag}>" if k % 2 else f"<{tag} data-main>{phrase(1, 3)}{inner}</{tag}>")
+    pages += [f"<nav><a href='/'>{word()}</a></nav>" for _ in range(3)] + [f"<div data-main>{'<div data-main>' * k}{phrase(1, 4)}{'</div>' * k}</div>" for k in (1, 4, 9, 30)]
     return pages
 
 
@@ -328,7 +334,7 @@ class Model:
         return out
 
 
-def train(pages: list[str], steps: int = 300, rate: float = 0.15, penalty: float = 1e-4) -> Model:
+def train(pages: list[str], steps: int = 400, rate: float = 0.15, penalty: float = 1e-4) -> Model:
     """Maximum likelihood of labelled pages (a bounded list) by gradient steps with momentum estimates."""
     trees = [Page(x) for x in pages]
     forest = Forest(trees)

@@ -1,0 +1,63 @@
+import hashlib
+import random
+import re
+import string
+
+import corpus
+from pyspark.sql import functions as F
+
+from fieldloom.llm import secrets
+
+FORMS = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 18),
+    ("hex", re.compile("[0-9a-f]+"), 16),
+)
+
+
+def by_hand(text):
+    found = [(m.start(), k, m.end(), name) for k, (name, form, least) in enumerate(FORMS) for m in form.finditer(text or "") if len(m[2] if k == 0 else m[0]) >= least]
+    return sorted(found)
+
+
+def rows():
+    r = random.Random(4)
+    key = lambda n, s=string.ascii_letters + string.digits: "".join(r.choices(s, k=n))
+    pieces = ["Password: ", "api_key=", "APIKEY = '", "token==", 'secret": "', "AKIA", key(20, "0123456789abcdef"), key(40, "abcdef0123456789"), "AKIA" + key(16, string.ascii_uppercase + string.digits), key(14), "abc", " ", "\n", "é", "😀", ".", "tokens secret=short", "x" * 30]
+    return [(k, "".join(r.choices(pieces, k=r.randint(0, 14))), None, None, 1) for k in range(300)] + [(2000 + d, *row) for d, *row in corpus.documents()[:20]] + [(900, None, None, None, 1)]
+
+
+def test_known_forms(spark, tmp_path):
+    every = rows()
+    texts = {d: t for d, t, *_ in every}
+    for r in secrets.op6_secrets(spark, corpus.saved(spark, tmp_path, every)).collect():
+        base = by_hand(texts[r.doc_id])
+        written = [f"{name}:{a}:{b}" for a, _, b, name in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _, _ in base) for j in range(3))
+        assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == written
+
+
+def test_battery_finds_random_tokens_and_leaves_words(spark):
+    r = random.Random(1)
+    words = "internationalisation_of_large_documents authentication/providers/settings/index getUserAccountInformationById some-very-long-hyphenated-slug-for-a-page abcdefghijklmnopqrstuvwxyz0123456789".split() + ["A" * 30, "-" * 25, "=" * 22]
+    keys = ["".join(r.choices(string.ascii_letters + string.digits + "+/", k=n)) for n in (24, 32, 40, 64) for _ in range(30)]
+    made = [(k, f"x {t} y") for k, t in enumerate(keys)] + [(1000 + k, " ".join(r.choices(words, k=5))) for k in range(400)]
+    found = secrets.scan(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", F.expr("exists(spans, s -> s.kind = 3)").alias("hit")).collect()
+    assert sum(x.hit for x in found if x.doc_id < 1000) >= 0.9 * len(keys)
+    assert sum(x.hit for x in found if x.doc_id >= 1000) == 0
+
+
+def test_normal_tail(spark):
+    from math import erfc, sqrt
+
+    zs = [-3.0, -0.5, 0.0, 1.0, 4.9, 5.1, 9.0, 20.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(secrets.upper_tail(F.col("z"))).collect()
+    for z, (p,) in zip(zs, got, strict=True):
+        assert abs(p - erfc(z / sqrt(2)) / 2) <= max(1e-7, 0.02 * p)
+
+
+def test_empty_table_and_plan(spark):
+    assert secrets.scan(corpus.frame(spark).limit(0)).count() == 0
+    plan = secrets.scan(corpus.frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
