@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import arrays, repeats
 
 LENGTH = 50
+#: Words of a phrase.
+GRAM = 8
 #: Text of the documents of one shard at most, unless one document has more.
 SHARD_BYTES = 8_000_000
 _TABLE = arrays.byte_table(8)
@@ -34,7 +36,7 @@ _TABLE = arrays.byte_table(8)
 
 def word_chunk(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> repeats.Chunk:
     starts, ends, first = arrays.words(data, offsets, arrays.NOT_SPACE)
-    return repeats.Chunk(arrays.span_hashes(data, starts, ends, _TABLE), first, length)
+    return repeats.Chunk(arrays.span_hashes(data, starts, ends, _TABLE), first, length, min(GRAM, length))
 
 
 def locate(chunk: repeats.Chunk, phrases: np.ndarray) -> np.ndarray:
@@ -44,13 +46,13 @@ def locate(chunk: repeats.Chunk, phrases: np.ndarray) -> np.ndarray:
         return found
     numbers = (chunk.values >> np.uint64(32)).astype(np.int64)
     shard = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for words in np.unique(numbers[phrases[:, None] + np.arange(repeats.GRAM)], axis=0).tolist():
+    for words in np.unique(numbers[phrases[:, None] + np.arange(chunk.gram)], axis=0).tolist():
         shard.add_word(tuple(words), 1)
     shard.make_automaton()
     for a, b in zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), strict=True):
-        if b - a >= repeats.GRAM:
+        if b - a >= chunk.gram:
             hits = np.fromiter((end for end, _ in shard.iter(tuple(numbers[a:b].tolist()))), np.int64)
-            found[a + hits - (repeats.GRAM - 1)] = True
+            found[a + hits - (chunk.gram - 1)] = True
     return found
 
 
@@ -60,7 +62,7 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
     def make(data, offsets):
         return word_chunk(data, offsets, length)
 
-    held = keyed.join(repeats.recurring(keyed, make, count, SHARD_BYTES), ["doc", "row_key"], "left").select("doc", "row_key", "text", "places")
+    held = keyed.join(repeats.recurring(keyed, make, count, SHARD_BYTES), "doc", "left").select("doc", "row_key", "text", "places")
     names = ["bucket", "hashes", "docs", "keys", "places", "hit_docs", "hit_keys", "hit_starts", "hit_stops"]
 
     def windows(batches):
@@ -98,15 +100,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """``id, text, n_words, n_removed, kept_sha256`` of every row: kept words joined by one blank (the text itself if none goes)."""
     keyed = repeats.with_key(docs, id_col, text_col)
     spans = repeats.gathered(repeated_spans(keyed, repeats.buckets(docs, text_col), length))
-    whole = keyed.join(spans, ["doc", "row_key"], "left").select("doc", "row_key", "text", "spans")
+    whole = keyed.join(spans, "doc", "left").select("doc", "row_key", "text", "spans")
     schema = f"{id_col} bigint, {text_col} string, n_words bigint, n_removed bigint, kept_sha256 string"
 
     def cut(batches):
         for batch in batches:
             texts, counts, removed, digests = [], [], [], []
+            spans, keys = batch.column("spans").to_pylist(), batch.column("row_key").to_pylist()
             for row, text in enumerate(batch.column("text").to_pylist()):
                 words = (text or "").encode().split()
-                starts, ends = repeats.span_ends(batch, row)
+                starts, ends = repeats.span_ends(spans[row], keys[row])
                 edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(words)]
                 kept = words if len(edges) == 2 else [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 joined = b" ".join(kept)
@@ -122,3 +125,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def op8_phrases(spark, sf_dir: str) -> DataFrame:
     """Contract digest of :func:`remove_repeats` over all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text")
+
+
+ORACLE_SQL = r"""
+WITH doc AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)),
+own AS (SELECT t, min(doc_id) AS d FROM win GROUP BY t),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN own USING (t) WHERE doc_id > d),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id LEFT JOIN n ON doc.doc_id = n.doc_id
+"""

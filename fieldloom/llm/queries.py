@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_mixing": mixing.ORACLE_SQL,
+    "op8_phrases": phrases.ORACLE_SQL,
+    "op9_suffixes": suffixes.ORACLE_SQL,
     "op10_decontaminate": decontam.ORACLE_SQL,
 }

@@ -1,10 +1,11 @@
 """Common steps of the two operators on repeated passages.
 
 A document is a sequence of units (words or bytes); a window is ``length``
-consecutive units. Every window selects one of its grams of ``GRAM`` units, that
-of least hash (the first of equals), so equal windows select equal grams, its
-*anchor*. Neighbouring windows mostly share an anchor: about one gram in 22 is
-one. Only anchors that occur in two documents can belong to a repeated window.
+consecutive units. Every window selects one of its grams of fewer units, that
+of least hash (the first of equals), so equal windows select equal grams, their
+*anchor*. Neighbouring windows mostly share an anchor: of grams of 8 words one in
+22 is one, of 24 bytes one in 14. Only anchors that occur in two documents can
+belong to a repeated window.
 
 Anchors and windows are dealt to buckets by the anchor's hash; the number of
 buckets follows the size of the input, so a bucket's size doesn't. Before
@@ -12,7 +13,7 @@ anything is sent, a chunk of documents settles what is repeated within it and
 sends each anchor or window once, so what a very frequent passage puts into its
 bucket is one entry for each chunk, not for each document.
 
-Rows are told apart by document id and a hash of the text (``row_key``), so rows
+What is removed goes by document id and a hash of the text (``row_key``), so rows
 that repeat an id are each judged on their own text. Rows without an id neither
 remove nor lose anything.
 """
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from . import arrays
 
-GRAM = 8
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 1_500_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -35,16 +35,17 @@ _LOW = np.uint64(0xFFFFFFFF)
 class Chunk:
     """Units of some rows: ``values``, and the first unit of each row (and the total)."""
 
-    def __init__(self, values: np.ndarray, first: np.ndarray, length: int):
-        self.values, self.first, self.length = values, first, length
+    def __init__(self, values: np.ndarray, first: np.ndarray, length: int, gram: int, skip: np.ndarray | None = None):
+        """``skip`` marks the units at which windows begin that are left out."""
+        self.values, self.first, self.length, self.gram = values, first, length, gram
         # Runs of windows with one anchor: first and last window, place and hash of the anchor, row.
         empty = np.zeros(0, np.int64)
         self.run_from = self.run_to = self.anchor = self.row = empty
         self.hash = np.zeros(0, np.uint64)
-        width, n = length - GRAM + 1, len(values)
+        width, n = length - gram + 1, len(values)
         if n < length:
             return
-        grams = arrays.window_hashes(values, GRAM)
+        grams = arrays.window_hashes(values, gram)
         least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         span = 1
         while span * 2 <= width:
@@ -56,6 +57,8 @@ class Chunk:
         sizes = np.diff(first)
         rows = np.repeat(np.arange(len(sizes)), sizes)[: len(chosen)]
         valid = np.arange(len(chosen)) + length <= first[1:][rows]
+        if skip is not None:
+            valid &= ~skip[: len(valid)]
         at = np.flatnonzero(valid)
         if not len(at):
             return
@@ -121,64 +124,80 @@ def group_least(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _split(batch: pa.RecordBatch, make, chunk_bytes: int):
-    """First row, row after the last and :class:`Chunk` of the parts of an Arrow batch of documents."""
+    """First row, row after the last and :class:`Chunk` of the parts of an Arrow batch of documents.
+
+    A column ``skip`` with ranges of windows (by byte) is given to ``make`` as a mask.
+    """
     data, offsets = arrays.column_bytes(batch.column("text"))
+    skips = batch.column("skip").to_pylist() if "skip" in batch.schema.names else None
+    keys = batch.column("row_key").to_pylist() if skips else None
     for a, b in arrays.chunks(offsets, chunk_bytes):
-        yield a, b, make(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        own = offsets[a : b + 1] - offsets[a]
+        if skips is None:
+            yield a, b, make(data[offsets[a] : offsets[b]], own)
+        else:
+            mask = np.zeros(own[-1] + 1, bool)
+            for row in range(a, b):
+                for span in skips[row] or ():
+                    if span["row_key"] == keys[row]:
+                        mask[own[row - a] + span["start"] : own[row - a] + span["stop"]] = True
+            yield a, b, make(data[offsets[a] : offsets[b]], own, mask)
 
 
 def recurring(docs: DataFrame, make, count: int, chunk_bytes: int) -> DataFrame:
-    """``(doc, row_key, places)``: where in each row (by unit) anchors stand that occur in two documents.
+    """``(doc, places)``: where in the texts of each id (by unit) anchors stand that occur in two documents.
 
     ``make`` turns bytes and row offsets into a :class:`Chunk`; a chunk has at most
-    ``chunk_bytes`` of text, or one longer row.
+    ``chunk_bytes`` of text, or one longer row. Within a bucket anchors are told
+    apart by 32 bits: this only narrows the search, so a chance meeting costs a look.
     """
-    names = ["bucket", "hashes", "docs", "keys", "places", "known_docs", "known_keys", "known_places"]
+    names = ["bucket", "hashes", "docs", "places", "known_docs", "known_places"]
 
     def anchors(batches):
         for batch in batches:
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row_key"))
+            # Rows without an id are left out here: a filter before would make another plan of the same scan.
+            there, ids = batch.column("doc").is_valid().to_numpy(zero_copy_only=False), batch.column("doc").fill_null(0).to_numpy(zero_copy_only=False)
             for a, _, chunk in _split(batch, make, chunk_bytes):
-                if not len(chunk.row):
+                known_id = there[a + chunk.row]
+                row, anchor, hashes = chunk.row[known_id], chunk.anchor[known_id], chunk.hash[known_id]
+                if not len(row):
                     continue
-                doc, key = ids[a + chunk.row].astype(np.int64), keys[a + chunk.row].astype(np.int64)
-                place = (chunk.anchor - chunk.first[chunk.row]).astype(np.int32)
-                low, high = group_least(chunk.hash, doc)
+                doc, place = ids[a + row].astype(np.int64), (anchor - chunk.first[row]).astype(np.int32)
+                low, high = group_least(hashes, doc)
                 known = low < high
                 if known.any():  # nothing to settle: these only pass through
-                    yield by_bucket(names, arrays.mix(doc[known].astype(np.uint64)) % np.uint64(count), {"known_docs": doc[known], "known_keys": key[known], "known_places": place[known]})
+                    yield by_bucket(names, arrays.mix(doc[known].astype(np.uint64)) % np.uint64(count), {"known_docs": doc[known], "known_places": place[known]})
                 # Of an anchor known to recur one entry goes out, with place -1.
-                marks = np.unique(chunk.hash[known])
-                none = np.zeros(len(marks), np.int64)
-                send = np.concatenate([chunk.hash[~known], marks])
-                yield by_bucket(names, arrays.mix(send) % np.uint64(count), {"hashes": send, "docs": np.concatenate([doc[~known], none]), "keys": np.concatenate([key[~known], none]), "places": np.concatenate([place[~known], np.full(len(marks), -1, np.int32)])})
+                marks = np.unique(hashes[known])
+                send = np.concatenate([hashes[~known], marks])
+                columns = {"docs": np.concatenate([doc[~known], np.zeros(len(marks), np.int64)]), "places": np.concatenate([place[~known], np.full(len(marks), -1, np.int32)])}
+                yield by_bucket(names, arrays.mix(send) % np.uint64(count), {"hashes": (send >> np.uint64(32)).astype(np.uint32)} | columns)
 
     def settle(table: pa.Table) -> pa.Table:
-        hashes, doc, key, place = joined(table, "hashes", np.uint64), joined(table, "docs", np.int64), joined(table, "keys", np.int64), joined(table, "places", np.int32)
+        hashes, doc, place = joined(table, "hashes", np.uint32), joined(table, "docs", np.int64), joined(table, "places", np.int32)
         real = place >= 0
         marked = np.isin(hashes, hashes[~real])
         low, high = group_least(hashes[real], doc[real])
         out = (low < high) | marked[real]
-        passed = {"doc": joined(table, "known_docs", np.int64), "row_key": joined(table, "known_keys", np.int64), "place": joined(table, "known_places", np.int32)}
-        settled = {"doc": doc[real][out], "row_key": key[real][out], "place": place[real][out]}
-        return pa.table({n: np.concatenate([passed[n], settled[n]]) for n in passed})
+        doc, place = np.concatenate([joined(table, "known_docs", np.int64), doc[real][out]]), np.concatenate([joined(table, "known_places", np.int32), place[real][out]])
+        # One row for each document of the bucket.
+        order = np.argsort(doc, kind="stable")
+        starts = np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1]))[: len(doc)]
+        return pa.table({"doc": doc[order][starts], "place": _blobs(place[order], np.append(starts, len(doc)))})
 
-    sent = docs.where(F.col("doc").isNotNull()).mapInArrow(anchors, binaries(names))
-    return sent.groupBy("bucket").applyInArrow(settle, "doc bigint, row_key bigint, place int").groupBy("doc", "row_key").agg(F.collect_list("place").alias("places"))
+    return docs.mapInArrow(anchors, binaries(names)).groupBy("bucket").applyInArrow(settle, "doc bigint, place binary").groupBy("doc").agg(F.collect_list("place").alias("places"))
 
 
 def marked_chunks(batch: pa.RecordBatch, make, chunk_bytes: int):
     """``(first row, documents, keys, chunk, is the run's anchor among the row's places)`` of rows that carry ``places``."""
     ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row_key"))
-    places = batch.column("places")
-    ends, flat = places.offsets.to_numpy().astype(np.int64), places.values.to_numpy(zero_copy_only=False)
     for a, b, chunk in _split(batch, make, chunk_bytes):
         if not len(chunk.row):
             continue
-        row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-        own = chunk.first[row] + flat[ends[a] : ends[b]]
         mark = np.zeros(len(chunk.values) + 1, bool)
-        mark[own] = True
+        for row, pieces in enumerate(batch.column("places").slice(a, b - a).to_pylist()):
+            places = np.frombuffer(b"".join(pieces), np.int32)
+            mark[chunk.first[row] + places[places < chunk.first[row + 1] - chunk.first[row]]] = True
         yield a, ids[a:b].astype(np.int64), keys[a:b].astype(np.int64), chunk, mark[chunk.anchor]
 
 
@@ -210,12 +229,13 @@ def with_passed(table: pa.Table, spans: dict[str, np.ndarray]) -> pa.Table:
 
 
 def gathered(spans: DataFrame) -> DataFrame:
-    """``(doc, row_key, spans)``, the spans in order (they may overlap)."""
-    return spans.groupBy("doc", "row_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    """``(doc, spans)``, in no order and not merged; each with the ``row_key`` of its text."""
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("row_key", "start", "stop")).alias("spans"))
 
 
-def span_ends(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged spans of one row of a batch with ``spans``."""
-    value = batch.column("spans")[row].as_py() or []
-    made = spans_of(np.zeros(len(value), np.int64), np.zeros(len(value), np.int64), np.array([s["start"] for s in value], np.int64), np.array([s["stop"] for s in value], np.int64))
+def span_ends(value: list[dict] | None, row_key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged spans of the text with a key."""
+    own = [(s["start"], s["stop"]) for s in value or () if s["row_key"] == row_key]
+    none, (start, stop) = np.zeros(len(own), np.int64), np.array(own, np.int64).reshape(-1, 2).T
+    made = spans_of(none, none, start, stop)
     return made["start"], made["stop"]

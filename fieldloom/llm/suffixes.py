@@ -1,5 +1,9 @@
 """Removal of repeated byte strings by interval expansion on a Burrows-Wheeler transform.
 
+Whole segments of text (their ends depend on the content, so copies have the
+same) that occur in a document of lesser id go first, by their hash; all that
+follows is about the distinct ones.
+
 Windows of ``length`` bytes whose anchor (see :mod:`repeats`) occurs in two documents
 come as stretches of text into the bucket of their anchor, where all copies of a
 window meet. A bucket's distinct stretches, divided by a byte that UTF-8 never
@@ -28,20 +32,74 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import arrays, repeats
 
 LENGTH = 50
+#: Bytes of an anchor: so many that texts rarely share them by chance.
+GRAM = 24
 _TABLE = arrays.byte_table(9)
 _DIVIDE = 0xFF
+#: Mean size of segments in windows (a power of two).
+SEGMENT = 256
 #: Bytes of documents whose windows are hashed at a time, unless one document has more.
 CHUNK_BYTES = 2_000_000
 #: Bytes of stretches that are worked on as one text at most, unless one anchor has more.
 SHARD_BYTES = 4_000_000
 
 
-def byte_chunk(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> repeats.Chunk:
-    return repeats.Chunk(_TABLE[data], offsets, length)
+def byte_chunk(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray | None = None, length: int = LENGTH) -> repeats.Chunk:
+    return repeats.Chunk(_TABLE[data], offsets, length, min(GRAM, length), skip)
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts, stops and hashes of segments.
+
+    A segment is a range of windows by their first byte; its ends hang on the
+    bytes after them alone, so copies have the same. The hash is that of all bytes
+    that its windows cover. Segments without a window are left out.
+    """
+    n = len(data)
+    none = np.zeros(0, np.int64)
+    if n < length:
+        return none, none, none, np.zeros(0, np.uint64)
+    values = _TABLE[data]
+    grams = arrays.window_hashes(values, min(GRAM, length))
+    cuts = np.flatnonzero((grams & np.uint64(SEGMENT - 1)) == 0)
+    full = np.flatnonzero(np.diff(offsets) >= length)
+    ends = offsets[1:][full] - length + 1  # after the last window of each row
+    # Cuts that lie behind a row's last window see bytes of the next row; they cut nothing.
+    row = np.searchsorted(offsets, cuts, side="right") - 1
+    cuts = cuts[cuts < offsets[row + 1] - length + 1]
+    starts = np.unique(np.concatenate([offsets[:-1][full], cuts]))
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    stops = np.minimum(np.append(starts[1:], n), ends[np.searchsorted(full, row)])
+    up, down = arrays.Powers.of(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    last = stops + length - 1
+    hashes = arrays.mix((sums[last] - sums[starts]) * down[starts] + (last - starts).astype(np.uint64))
+    return row, starts, stops, hashes
+
+
+def copied_segments(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Ranges of windows ``(doc, row_key, start, stop)`` in segments that occur whole in a document of lesser id."""
+    kind = "hash bigint, doc bigint, row_key bigint, start int, stop int"
+
+    def cut(batches):
+        for batch in batches:
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "row_key"))
+            data, offsets = arrays.column_bytes(batch.column("text"))
+            for a, b in arrays.chunks(offsets, CHUNK_BYTES):
+                own = offsets[a : b + 1] - offsets[a]
+                row, start, stop, hashes = segments(data[offsets[a] : offsets[b]], own, length)
+                columns = (hashes.astype(np.int64), ids[a + row], keys[a + row], (start - own[row]).astype(np.int32), (stop - own[row]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in kind.split(", ")])
+
+    every = keyed.where(F.col("doc").isNotNull()).mapInArrow(cut, kind)
+    return every.withColumn("least", F.min("doc").over(Window.partitionBy("hash"))).where(F.col("doc") > F.col("least")).select("doc", "row_key", "start", "stop")
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -131,8 +189,10 @@ def _settle(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndar
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     for column, values in zip(out, (doc[covered], key[covered], start[covered], start[covered] + sizes[covered]), strict=True):
         column.append(values)
-    # Shards of whole anchors.
+    # Shards of whole anchors. A text alone under its anchor shares no window with another.
     order = np.argsort(of_anchor, kind="stable")
+    _, place, count = np.unique(of_anchor, return_inverse=True, return_counts=True)
+    order = order[count[place[order]] > 1]
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
     rows = np.argsort(which, kind="stable")
     rows_at = np.searchsorted(which[rows], np.arange(len(distinct) + 1))
@@ -159,10 +219,12 @@ def _settle(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndar
 def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFrame:
     """Byte spans ``(doc, row_key, start, stop)`` that are covered by repeated windows."""
 
-    def make(data, offsets):
-        return byte_chunk(data, offsets, length)
+    def make(data, offsets, skip):
+        return byte_chunk(data, offsets, skip, length)
 
-    held = keyed.join(repeats.recurring(keyed, make, count, CHUNK_BYTES), ["doc", "row_key"], "left").select("doc", "row_key", "text", "places")
+    copied = copied_segments(keyed, length)
+    distinct = keyed.join(repeats.gathered(copied).withColumnRenamed("spans", "skip"), "doc", "left").select("doc", "row_key", "text", "skip")
+    held = distinct.join(repeats.recurring(distinct, make, count, CHUNK_BYTES), "doc", "left").select("doc", "row_key", "text", "skip", "places")
     names = ["bucket", "anchors", "docs", "keys", "starts", "sizes", "texts", "hit_docs", "hit_keys", "hit_starts", "hit_stops"]
 
     def stretches(batches):
@@ -198,22 +260,24 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
         spans = _settle(anchor, doc, key, start.astype(np.int64), texts, length) if texts else repeats.spans_of(doc, key, start, start)
         return repeats.with_passed(table, spans)
 
-    return held.mapInArrow(stretches, repeats.binaries(names)).groupBy("bucket").applyInArrow(settle, repeats.SPANS)
+    among = held.mapInArrow(stretches, repeats.binaries(names)).groupBy("bucket").applyInArrow(settle, repeats.SPANS)
+    return among.unionByName(copied.withColumn("stop", F.col("stop") + (length - 1)))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, kept, n_bytes, n_removed, n_spans`` of every row: the remaining bytes, and what went."""
     keyed = repeats.with_key(docs, id_col, text_col)
     spans = repeats.gathered(repeated_spans(keyed, repeats.buckets(docs, text_col), length))
-    whole = keyed.join(spans, ["doc", "row_key"], "left").select("doc", "row_key", "text", "spans")
+    whole = keyed.join(spans, "doc", "left").select("doc", "row_key", "text", "spans")
     schema = f"{id_col} bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def cut(batches):
         for batch in batches:
             rows = [[], [], [], [], []]
+            spans, keys = batch.column("spans").to_pylist(), batch.column("row_key").to_pylist()
             for row, text in enumerate(batch.column("text").to_pylist()):
                 raw = (text or "").encode()
-                starts, ends = repeats.span_ends(batch, row)
+                starts, ends = repeats.span_ends(spans[row], keys[row])
                 edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(raw)]
                 kept = raw if len(edges) == 2 else b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 for column, value in zip(rows, (None if text is None else kept, len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()), strict=True):
@@ -227,3 +291,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def op9_suffixes(spark, sf_dir: str) -> DataFrame:
     """Contract digest of :func:`remove_repeats` over all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+ORACLE_SQL = r"""
+WITH doc AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS t FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM doc WHERE n >= 50)),
+own AS (SELECT t, min(doc_id) AS d FROM win GROUP BY t),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN own USING (t) WHERE doc_id > d),
+span AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans
+         FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+byte AS (SELECT doc_id, substr(h, 2 * p + 1, 2) AS x, p FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM doc WHERE doc_id IN (SELECT doc_id FROM span))),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS t FROM byte ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc.doc_id, n AS n_bytes, CAST(coalesce(span.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(span.n_spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN span.doc_id IS NULL THEN sha256(unhex(h)) ELSE sha256(unhex(coalesce(kept.t, ''))) END AS kept_sha256
+FROM doc LEFT JOIN span ON doc.doc_id = span.doc_id LEFT JOIN kept ON doc.doc_id = kept.doc_id
+"""
