@@ -9,7 +9,7 @@ ITEMS = [(1, " ".join(f"leak{k}" for k in range(14))), (2, None), (3, "")]
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    rows = [r for r in dict((r[0], r) for r in corpus.documents(count=40)).values()]
+    rows = list({r[0]: r for r in corpus.documents(count=40)}.values())
     rows += [(500, "Some words before " + ITEMS[0][1].upper() + " and after", "en", "s0", 1), (501, " ".join(f"leak{k}" for k in range(9)) + " other words then", "en", "s0", 1)]
     folder = corpus.saved(spark, tmp_path, rows)
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -45,3 +45,10 @@ def test_rejects_and_empty_tables(spark, tmp_path):
     spark.createDataFrame(ITEMS[:0], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert pipeline.run(spark, folder).count() == 0
     assert decontam.decontaminate(corpus.frame(spark), spark.read.parquet(f"{folder}/benchmark.parquet")).count() == len(corpus.documents())
+
+
+def test_documents_without_id_stay(spark, tmp_path):
+    folder = corpus.saved(spark, tmp_path, [(None, "the and ing tion", "en", "s", 16), (None, "der und ung schen", "de", "s", 17), (1, "the and ing tion", "en", "s", 16)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert pipeline.near_dedup(spark, docs, folder).count() == 3
+    assert pipeline.line_dedup(spark, docs, folder).where("doc_id is null").count() == 2
