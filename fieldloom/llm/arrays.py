@@ -53,6 +53,12 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def pieces(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """Python values of a column, a few rows at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown when needed."""
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
+
 DEPTH = 256
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -365,7 +367,7 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                texts = shared.value.texts(batch.column(html_col).to_pylist())
+                texts = [t for sources in arrays.pieces(batch.column(html_col), 400) for t in shared.value.texts(sources)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
     return out.mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fp", size
     schema = out.withColumn(into, F.lit(0).cast("bigint")).drop(text_col).schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = np.array([fingerprint(x, size) for x in batch.column(text_col).to_pylist()], np.uint64).astype(np.int64)
+        made = np.array([fingerprint(x, size) for texts in arrays.pieces(batch.column(text_col)) for x in texts], np.uint64).astype(np.int64)
         keep = [n for n in batch.schema.names if n != text_col]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(made)], names=[*keep, into])
 
