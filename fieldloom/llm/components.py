@@ -26,11 +26,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, e
     for _ in range(rounds):
         least = stars.groupBy("x").agg(F.min("y").alias("m"))
         # Of an id with smaller neighbours, the least of them is the least of all.
-        above = stars.select(F.col("y").alias("x"), F.col("x").alias("y")).join(least, "x", "left").select(F.col("y").alias("x"), F.coalesce("m", "x").alias("y"))
-        large = above.where(F.col("x") > F.col("y"))
+        large = stars.join(least.withColumnRenamed("x", "y"), "y", "left").select("x", F.coalesce("m", "y").alias("y"))
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x")
-        stars = durable.keep(small.select("x", F.col("m").alias("y")).unionByName(small.where(F.col("y") != F.col("m")).select(F.col("y").alias("x"), F.col("m").alias("y"))).distinct())
+        ends = large.join(least, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e"))
+        stars = durable.keep(ends.select("e.*").where(F.col("x") != F.col("y")).distinct())
         if not exact:
             continue
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)")), F.max(F.xxhash64("x", "y"))).first()

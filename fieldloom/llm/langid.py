@@ -10,7 +10,8 @@ equations (landmarks x landmarks) of the training sample, never its texts.
 Scoring a batch is two matrix products: presence x landmarks, kernel x weights.
 
 Bounds (parameters): ``landmarks`` (over all languages ``most_landmarks``, or
-one each) and ``sample`` rows per language, chosen by
+one each) and ``sample`` rows per language of the ``most_languages`` most frequent
+labels, chosen by
 the least hash of their text among distinct texts of up to ``fit_chars`` characters.
 What is predicted is always the whole text.
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import durable
+from . import arrays, durable
 
 ORDERS = (1, 2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -115,15 +116,16 @@ class Model:
         return names, scores
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landmarks: int = 48, sample: int = 900, fit_chars: int = 20_000, most_landmarks: int = 1200, ridge: float = 1e-3) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landmarks: int = 48, sample: int = 900, fit_chars: int = 20_000, most_landmarks: int = 1200, most_languages: int = 1000, ridge: float = 1e-3) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= fit_chars))
     # The rows of least hash, found among a share of each language's rows that is about four times as large; copies count once.
     most = landmarks + sample
-    counts = rows.groupBy("lang").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / (4.0 * most)).alias("one_of"))
-    share = rows.withColumn("order", F.xxhash64("text")).join(counts, "lang").where(F.pmod("order", F.lit(1 << 40)) < F.lit(float(1 << 40)) / F.col("one_of"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    table = spark.createDataFrame([(r.lang, max(1.0, r["count"] / (4.0 * most))) for r in counts], "lang string, one_of double")
+    share = rows.join(F.broadcast(table), "lang").withColumn("order", F.xxhash64("text")).where(F.pmod("order", F.lit(1 << 40)) < F.lit(float(1 << 40)) / F.col("one_of"))
     share = share.groupBy("lang", "order").agg(F.min("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 40)), "text"))
     chosen = durable.keep(share.withColumn("nth", nth).where(F.col("nth") <= most))
@@ -171,7 +173,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                names, scores = shared.value.predict(batch.column(text_col).to_pylist())
+                names, scores = [], []
+                for texts in arrays.pieces(batch.column(text_col)):
+                    found = shared.value.predict(texts)
+                    names += found[0]
+                    scores += found[1]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return out.mapInArrow(run, schema)
