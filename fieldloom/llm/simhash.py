@@ -34,18 +34,30 @@ LEAF, NODE = 2048, 16
 _BITS = [np.uint64(1) << np.uint64(k) for k in range(64)]
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """SimHash of a text's shingles of ``size`` words (A-Z lower-cased, split at ASCII white space)."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every run of ``size`` words (A-Z lower-cased, split at ASCII white space); of all words, if they are fewer."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(words[k : k + size]), 42) for k in range(n)), np.uint64, n)
-    counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(0, dtype=np.int64) if n < 4096 else sum(np.unpackbits(hashes[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for k in range(0, n, 4096))
+    return np.fromiter((digest(b" ".join(words[k : k + size]), 42) for k in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n = len(hashes)
+    if not n:
+        return 0
+    counts = sum(np.unpackbits(hashes[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for k in range(0, n, 4096))
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """SimHash of a text's shingles of ``size`` words."""
+    return majority(shingle_hashes(text, size))
+
+
 _LOWER = arrays.LOWER.tobytes()
 
 
