@@ -12,6 +12,9 @@ pages, in which elements of the main text carry the attribute ``data-main``.
 Defined results: null or empty html gives an empty text; rows are judged one
 by one, so repeated rows give repeated results; elements nested more than
 ``DEPTH`` deep count as children of the one at that depth (their text stays);
+script, style, textarea, title and iframe hold raw text, which is skipped to their
+end tag or the page's end, as browsers do; all other elements are nodes (a
+self-closed svg is none);
 columns of the input stay, but for one named like the result.
 """
 
@@ -31,7 +34,8 @@ from . import arrays
 DEPTH = 256
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|select|button|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>"
@@ -40,7 +44,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var del".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big button canvas cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var del svg g path use defs circle ellipse line polygon polyline rect".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _WALLS = frozenset("ul ol dl table td th div section article main aside nav body html".split())

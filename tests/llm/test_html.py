@@ -67,3 +67,10 @@ def test_odd_pages(spark, model):
     found = {r.page_id: r.text for r in htmltree.extract(df, model).collect()}
     assert found[1] == found[2] == "" and found[3] == "a <b> c" and found[4] == "deep text" and found[6] == ""
     assert htmltree.extract(df, model).columns == ["page_id", "html", "text"] and htmltree.extract(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<svg class=i/>", "<svg class=\"a>b\" />", "<svg><path d=M0/></svg>", "<button>", "<select>", "<object>", "<noscript>", "<canvas>", "<button-row>b</button-row>", "<select-box>", "<title-bar>"])
+def test_unclosed_self_closed_and_custom_elements(model, odd):
+    long = "words of the article that go on, and on, for a while. " * 4
+    text = model.texts([f"<body><article><p>one {long} {odd} two</p><p>three {long}</p></article></body>"])[0]
+    assert text.startswith("one words") and "two" in text and "three words" in text
