@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at a time; a longer row is a chunk alone.
@@ -106,6 +107,10 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+#: Longest span that is hashed by powers of a base modulo 2^64: longer texts can be made to collide under any base.
+SHORT_SPAN = 64
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each of some ordered, disjoint spans."""
     out = np.empty(len(starts), np.uint64)
@@ -120,6 +125,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
         edges[0::2], edges[1::2] = starts[at:to] - low, ends[at:to] - low
         out[at:to] = mix(np.add.reduceat(values, edges)[::2] * down[edges[0::2]] + (ends[at:to] - starts[at:to]).astype(np.uint64))
         at = to
+    for k in np.flatnonzero(ends - starts > SHORT_SPAN).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
     return out
 
 

@@ -123,6 +123,41 @@ def group_least(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.minimum.reduceat(values[order], edges)[group], np.maximum.reduceat(values[order], edges)[group]
 
 
+def least_item(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each item the place of the first item of least document among those of equal key."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    new = np.append(True, keys[order][1:] != keys[order][:-1])
+    edges, group = np.flatnonzero(new), np.cumsum(new) - 1
+    least = np.minimum.reduceat(docs[order], edges)[group]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.minimum.reduceat(np.where(docs[order] == least, order, len(keys)), edges)[group]
+    return out
+
+
+#: Columns of links: a span of a text, and the equal span of a document of lesser id.
+LINK_KINDS = {"doc": np.int64, "row_key": np.int64, "start": np.int32, "stop": np.int32, "owner": np.int64, "owner_key": np.int64, "owner_start": np.int32}
+LINKS = "doc bigint, row_key bigint, start int, stop int, owner bigint, owner_key bigint, owner_start int"
+
+
+def links_of(doc: np.ndarray, key: np.ndarray, place: np.ndarray, own: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Runs of neighbouring windows, those at ``hit`` of each item, that equal neighbouring windows of one other text.
+
+    ``own`` pairs an item with the item that its window equals: two rows of places.
+    """
+    hit, other = own
+    order = np.lexsort((place[hit], key[hit], doc[hit]))
+    hit, other = hit[order], other[order]
+    d, k, p, o, ok, op = doc[hit], key[hit], place[hit], doc[other], key[other], place[other]
+    new = np.ones(len(hit), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (ok[1:] != ok[:-1]) | (np.diff(p) != 1) | (np.diff(op) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
+    made = (d[first], k[first], p[first], p[last] + length, o[first], ok[first], op[first])
+    return {name: column.astype(kind) for (name, kind), column in zip(LINK_KINDS.items(), made, strict=True)}
+
+
 def _split(batch: pa.RecordBatch, make, chunk_bytes: int):
     """First row, row after the last and :class:`Chunk` of the parts of an Arrow batch of documents.
 

@@ -77,6 +77,35 @@ def test_rows_without_id_and_rows_that_share_one(spark):
     assert got == [(0, n, 0), (1, 3, 0), (1, n, 0), (2, 3, 0), (2, n, n)]
 
 
+def thue_morse(order, one, other):
+    """Two texts that hashes by powers of a base modulo 2^64 can't tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(1 << order)]
+    return "".join((one, other)[b] for b in bits), "".join((other, one)[b] for b in bits)
+
+
+def test_texts_that_collide_modulo_2_to_64(spark):
+    x, y = thue_morse(11, "a", "b")
+    start, end = (" ".join(f"{c}{k}" for k in range(30)) for c in "st")
+    rows = [(1, f"{start} {x} {end}", None, None, 1), (2, f"{start} {y} {end}", None, None, 1), (3, f"{start} {y} {end}", None, None, 1)]
+    got = {r.doc_id: r.n_removed for r in phrases.remove_repeats(corpus.frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 61}
+    want = brute(rows, lambda t: list(t.encode()), bytes, 50)
+    for r in suffixes.remove_repeats(corpus.frame(spark, rows)).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id, rows[r.doc_id - 1][1]]
+
+
+def test_automaton():
+    shard = phrases.Shard({b"a b c": 1, b"c d": 5})
+    assert shard.locate(b"a b c d".split(), 3) == [[0, 3]] and shard.locate(b"a b c d".split(), 9) == [[0, 4]]
+    assert shard.locate(b"a b c".split(), 1) == [] and shard.locate(b"a b c".split(), None) == [] and phrases.Shard({}).locate([b"a"], 2) == []
+
+
+def test_very_long_and_monotonous_texts(spark):
+    rows = [(1, "word " * 60_000, None, None, 1), (2, "word " * 90_000 + "end", None, None, 1)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in phrases.remove_repeats(corpus.frame(spark, rows)).collect()}
+    assert got == {1: (60_000, 0), 2: (90_001, 90_000)}
+
+
 def test_empty_tables(spark):
     empty = corpus.frame(spark).limit(0)
     assert phrases.remove_repeats(empty).count() == 0 and suffixes.remove_repeats(empty).count() == 0
