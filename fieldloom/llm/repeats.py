@@ -227,8 +227,6 @@ def marked_chunks(batch: pa.RecordBatch, make, chunk_bytes: int):
     """``(first row, documents, keys, chunk, is the run's anchor among the row's places)`` of rows that carry ``places``."""
     ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row_key"))
     for a, b, chunk in _split(batch, make, chunk_bytes):
-        if not len(chunk.row):
-            continue
         mark = np.zeros(len(chunk.values) + 1, bool)
         for row, pieces in enumerate(batch.column("places").slice(a, b - a).to_pylist()):
             places = np.frombuffer(b"".join(pieces), np.int32)

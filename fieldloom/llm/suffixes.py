@@ -1,28 +1,33 @@
 """Removal of repeated byte strings by interval expansion on a Burrows-Wheeler transform.
 
-Whole segments of text (their ends depend on the content, so copies have the
-same) that occur in a document of lesser id go first, by their hash; all that
-follows is about the distinct ones.
-
-Windows of ``length`` bytes whose anchor (see :mod:`repeats`) occurs in two documents
-come as stretches of text into the bucket of their anchor, where all copies of a
-window meet. A bucket's distinct stretches, divided by a byte that UTF-8 never
-has, form one text; suffixes are sorted as far as needed and give its transform.
-
-Common prefixes are then derived by increasing value: the interval of the empty
-string is extended backward by every byte in it, breadth first, so the
-intervals of all strings of one length come before those of the next; the place
-after an interval that has no value yet has the length at hand as its common
-prefix. At ``length`` the expansion stops: places without a value join suffixes
-that share a whole window, whatever more they share. In each group so joined,
-windows of a document of greater id than the least are removed.
-
-Stretches that are equal within a chunk of documents are sent once, for the
-document of least id; the others are covered by that one.
+Hashes only bring equal text together; the transform decides every span:
+
+* Segments of text (their ends depend on the content, so copies have the same)
+  whose hash occurs in two documents, and
+* stretches of the windows of ``length`` bytes outside copied segments whose anchor
+  (see :mod:`repeats`) occurs in two documents
+
+come into the bucket of their hash or anchor, where all copies of a window meet. A
+bucket's distinct pieces, divided by a byte that UTF-8 never has, form one text;
+suffixes are sorted as far as needed and give its transform. Common prefixes are
+then derived by increasing value: the interval of the empty string is extended
+backward by every byte in it, breadth first, so the intervals of all strings of
+one length come before those of the next; the place after an interval that has
+no value yet has the length at hand as its common prefix. At ``length`` the
+expansion stops: places without a value join suffixes that share a whole window,
+whatever more they share. In each group so joined, windows of a document of
+greater id than the least are removed.
+
+Pieces that repeat within a chunk of documents are judged there, in the same way,
+and sent once, for the document of least id. So what a very frequent passage puts
+into its bucket is one entry for each chunk; a bucket is worked on in shards of
+whole anchors.
 
 Defined results: null text has no bytes and stays null; what is kept of a text
-may not be whole characters, so ``kept`` is binary; see :mod:`repeats` for repeated
-rows and rows without an id.
+may not be whole characters, so ``kept`` is binary; rows are judged by id and text,
+so rows that repeat both have equal results; rows without an id neither remove nor
+lose anything; an empty table gives an empty one; time and memory go in proportion
+to the longest text; of the input's columns the id alone is returned.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,19 +60,18 @@ def byte_chunk(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray | None =
     return repeats.Chunk(_TABLE[data], offsets, length, min(GRAM, length), skip)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts, stops and hashes of segments.
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and stops of segments.
 
     A segment is a range of windows by their first byte; its ends hang on the
-    bytes after them alone, so copies have the same. The hash is that of all bytes
-    that its windows cover. Segments without a window are left out.
+    bytes after them alone, so copies have the same. Segments without a window are
+    left out.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, np.zeros(0, np.uint64)
-    values = _TABLE[data]
-    grams = arrays.window_hashes(values, min(GRAM, length))
+        return none, none, none
+    grams = arrays.window_hashes(_TABLE[data], min(GRAM, length))
     cuts = np.flatnonzero((grams & np.uint64(SEGMENT - 1)) == 0)
     full = np.flatnonzero(np.diff(offsets) >= length)
     ends = offsets[1:][full] - length + 1  # after the last window of each row
@@ -75,31 +80,48 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     cuts = cuts[cuts < offsets[row + 1] - length + 1]
     starts = np.unique(np.concatenate([offsets[:-1][full], cuts]))
     row = np.searchsorted(offsets, starts, side="right") - 1
-    stops = np.minimum(np.append(starts[1:], n), ends[np.searchsorted(full, row)])
-    up, down = arrays.Powers.of(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    last = stops + length - 1
-    hashes = arrays.mix((sums[last] - sums[starts]) * down[starts] + (last - starts).astype(np.uint64))
-    return row, starts, stops, hashes
+    return row, starts, np.minimum(np.append(starts[1:], n), ends[np.searchsorted(full, row)])
 
 
-def copied_segments(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Ranges of windows ``(doc, row_key, start, stop)`` in segments that occur whole in a document of lesser id."""
-    kind = "hash bigint, doc bigint, row_key bigint, start int, stop int"
+def segments_met(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Ranges of windows ``(doc, row_key, start, stop, hash, kind)``.
+
+    Kind 0: removed, as judged within a chunk of documents; 1: the hash of the
+    segment occurs in a document of lesser id; 2: it occurs in greater ones only.
+    """
+    schema = "doc bigint, row_key bigint, start int, stop int, hash bigint, judged boolean"
 
     def cut(batches):
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "row_key"))
             data, offsets = arrays.column_bytes(batch.column("text"))
             for a, b in arrays.chunks(offsets, CHUNK_BYTES):
-                own = offsets[a : b + 1] - offsets[a]
-                row, start, stop, hashes = segments(data[offsets[a] : offsets[b]], own, length)
-                columns = (hashes.astype(np.int64), ids[a + row], keys[a + row], (start - own[row]).astype(np.int32), (stop - own[row]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in kind.split(", ")])
-
-    every = keyed.where(F.col("doc").isNotNull()).mapInArrow(cut, kind)
-    return every.withColumn("least", F.min("doc").over(Window.partitionBy("hash"))).where(F.col("doc") > F.col("least")).select("doc", "row_key", "start", "stop")
+                own, raw = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+                row, start, stop = segments(raw, own, length)
+                raw = raw.tobytes()
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(raw[x : y + length - 1]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
+                doc, key, place = ids[a + row], keys[a + row], start - own[row]
+                first = repeats.least_item(hashes, doc)
+                copy = doc > doc[first]
+                met = np.flatnonzero(np.isin(hashes, hashes[copy]))
+                gone = decide(hashes[met], doc[met], key[met], place[met], [raw[x : y + length - 1] for x, y in zip(start[met].tolist(), stop[met].tolist(), strict=True)], length)
+                left = ~copy
+                columns = {
+                    "doc": np.concatenate([gone["doc"], doc[left]]),
+                    "row_key": np.concatenate([gone["row_key"], key[left]]),
+                    "start": np.concatenate([gone["start"], place[left]]).astype(np.int32),
+                    "stop": np.concatenate([gone["stop"] - (length - 1), (stop - own[row])[left]]).astype(np.int32),
+                    "hash": np.concatenate([arrays.mix(gone["doc"].astype(np.uint64)), hashes[left]]).astype(np.int64),
+                    "judged": np.append(np.ones(len(gone["doc"]), bool), np.zeros(left.sum(), bool)),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    every = keyed.where(F.col("doc").isNotNull()).mapInArrow(cut, schema)
+    # At most one row for each chunk of documents under a hash: chunks have settled their copies.
+    group = Window.partitionBy("judged", "hash")
+    every = every.withColumns({"least": F.min("doc").over(group), "most": F.max("doc").over(group)}).where(F.col("judged") | (F.col("least") < F.col("most")))
+    kind = F.when(F.col("judged"), 0).when(F.col("doc") > F.col("least"), 1).otherwise(2).alias("kind")
+    return every.select("doc", "row_key", "start", "stop", "hash", kind)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -175,24 +197,21 @@ def least_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) ->
     return [result[a : a + w] for a, w in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
-def _settle(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Spans to remove among the stretches of a bucket."""
+def decide(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, texts: list[bytes], length: int) -> dict[str, np.ndarray]:
+    """Spans to remove among pieces of text; only those of equal anchor are compared for sure."""
     numbers: dict[bytes, int] = {}
     which = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
     distinct = list(numbers)
-    owner = np.full(len(distinct), np.iinfo(np.int64).max)
+    owner, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(owner, which, doc)
+    np.maximum.at(most, which, doc)
     of_anchor = np.zeros(len(distinct), np.uint64)
     of_anchor[which] = anchor
-    out = [[], [], [], []]
-    covered = doc > owner[which]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    for column, values in zip(out, (doc[covered], key[covered], start[covered], start[covered] + sizes[covered]), strict=True):
-        column.append(values)
-    # Shards of whole anchors. A text alone under its anchor shares no window with another.
+    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+    # Shards of whole anchors. A text of one document alone under its anchor shares no window with another document.
     order = np.argsort(of_anchor, kind="stable")
     _, place, count = np.unique(of_anchor, return_inverse=True, return_counts=True)
-    order = order[count[place[order]] > 1]
+    order = order[(count[place[order]] > 1) | (owner[order] < most[order])]
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
     rows = np.argsort(which, kind="stable")
     rows_at = np.searchsorted(which[rows], np.arange(len(distinct) + 1))
@@ -204,14 +223,15 @@ def _settle(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndar
             b += 1
         part = order[a:b]
         for k, least in zip(part.tolist(), least_owner([distinct[k] for k in part], owner[part], length), strict=True):
-            hit = np.concatenate([[False], least < owner[k], [False]])
-            edges = np.flatnonzero(hit[1:] != hit[:-1])
-            if len(edges):
-                for row in rows[rows_at[k] : rows_at[k + 1]].tolist():
-                    if doc[row] == owner[k]:
-                        n = len(edges) // 2
-                        for column, values in zip(out, (np.full(n, doc[row]), np.full(n, key[row]), start[row] + edges[::2], start[row] + edges[1::2] + length - 1), strict=True):
-                            column.append(values)
+            own = rows[rows_at[k] : rows_at[k + 1]]
+            for limit in np.unique(doc[own]).tolist():
+                hit = np.concatenate([[False], least < limit, [False]])
+                edges = np.flatnonzero(hit[1:] != hit[:-1])
+                if len(edges):
+                    some = own[doc[own] == limit]
+                    n = len(edges) // 2
+                    for column, values in zip(out, (np.full(n * len(some), limit), np.repeat(key[some], n), (start[some][:, None] + edges[None, ::2]).ravel(), (start[some][:, None] + edges[None, 1::2] + length - 1).ravel()), strict=True):
+                        column.append(values)
         a = b
     return repeats.spans_of(*(np.concatenate(c) for c in out))
 
@@ -222,46 +242,48 @@ def repeated_spans(keyed: DataFrame, count: int, length: int = LENGTH) -> DataFr
     def make(data, offsets, skip):
         return byte_chunk(data, offsets, skip, length)
 
-    copied = copied_segments(keyed, length)
-    distinct = keyed.join(repeats.gathered(copied).withColumnRenamed("spans", "skip"), "doc", "left").select("doc", "row_key", "text", "skip")
-    held = distinct.join(repeats.recurring(distinct, make, count, CHUNK_BYTES), "doc", "left").select("doc", "row_key", "text", "skip", "places")
+    met = segments_met(keyed, length)
+    listed = met.groupBy("doc").agg(F.collect_list(F.struct("row_key", "start", "stop", "hash", "kind")).alias("segments"))
+    listed = listed.select("doc", "segments", F.filter("segments", lambda s: s["kind"] < 2).alias("skip"))
+    split = keyed.join(listed, "doc", "left").select("doc", "row_key", "text", "segments", "skip")
+    held = split.join(repeats.recurring(split.drop("segments"), make, count, CHUNK_BYTES), "doc", "left").where(F.col("places").isNotNull() | F.col("segments").isNotNull())
+    held = held.select("doc", "row_key", "text", "segments", "skip", F.coalesce("places", F.array().cast("array<binary>")).alias("places"))
     names = ["bucket", "anchors", "docs", "keys", "starts", "sizes", "texts", "hit_docs", "hit_keys", "hit_starts", "hit_stops"]
 
-    def stretches(batches):
+    def pieces(batches):
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column("places")))
-            if not batch.num_rows:
-                continue
             data, offsets = arrays.column_bytes(batch.column("text"))
             for a, ids, keys, chunk, marked in repeats.marked_chunks(batch, make, CHUNK_BYTES):
                 raw = data[offsets[a] : offsets[a + len(ids)]].tobytes()
                 run = np.flatnonzero(marked)
-                if not len(run):
+                own = [(row, s) for row, found in enumerate(batch.column("segments").slice(a, len(ids)).to_pylist()) for s in found or () if s["kind"] and s["row_key"] == keys[row]]
+                row = np.append(chunk.row[run], np.array([r for r, _ in own], np.int64))
+                low = np.append(chunk.run_from[run], np.array([chunk.first[r] + s["start"] for r, s in own], np.int64))
+                high = np.append(chunk.run_to[run], np.array([chunk.first[r] + s["stop"] - 1 for r, s in own], np.int64)) + length
+                anchor = np.append(chunk.hash[run], np.array([s["hash"] for _, s in own], np.int64).astype(np.uint64))
+                if not len(row):
                     continue
-                low, high = chunk.run_from[run], chunk.run_to[run] + length
-                doc, key, start = ids[chunk.row[run]], keys[chunk.row[run]], (low - chunk.first[chunk.row[run]]).astype(np.int32)
-                texts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                least: dict[bytes, int] = {}
-                for text, d in zip(texts, doc.tolist(), strict=True):
-                    if d < least.get(text, d + 1):
-                        least[text] = d
-                hit = doc > np.fromiter((least[t] for t in texts), np.int64, len(texts))
-                if hit.any():  # settled here: these only pass through
-                    made = repeats.spans_of(doc[hit], key[hit], start[hit], start[hit] + (high - low)[hit])
-                    yield repeats.by_bucket(names, arrays.mix(made["doc"].astype(np.uint64)) % np.uint64(count), {f"hit_{n}": made[c] for n, c in (("docs", "doc"), ("keys", "row_key"), ("starts", "start"), ("stops", "stop"))})
+                doc, key, start = ids[row], keys[row], low - chunk.first[row]
+                texts = [raw[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                numbers: dict[bytes, int] = {}
+                which = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
+                hit = doc > repeats.group_least(which, doc)[0]
+                if hit.any():  # judged here: these only pass through
+                    again = np.flatnonzero(np.isin(which, which[hit]))
+                    made = decide(which[again].astype(np.uint64), doc[again], key[again], start[again], [texts[k] for k in again.tolist()], length)
+                    if len(made["doc"]):
+                        yield repeats.by_bucket(names, arrays.mix(made["doc"].astype(np.uint64)) % np.uint64(count), {f"hit_{n}": made[c] for n, c in (("docs", "doc"), ("keys", "row_key"), ("starts", "start"), ("stops", "stop"))})
                 left = np.flatnonzero(~hit)
-                anchor = chunk.hash[run][left]
-                yield repeats.by_bucket(names, arrays.mix(anchor) % np.uint64(count), {"anchors": anchor, "docs": doc[left], "keys": key[left], "starts": start[left], "sizes": (high - low)[left].astype(np.int32)}, {"texts": [texts[k] for k in left.tolist()]})
+                yield repeats.by_bucket(names, arrays.mix(anchor[left]) % np.uint64(count), {"anchors": anchor[left], "docs": doc[left], "keys": key[left], "starts": start[left].astype(np.int32), "sizes": (high - low)[left].astype(np.int32)}, {"texts": [texts[k] for k in left.tolist()]})
 
     def settle(table: pa.Table) -> pa.Table:
         anchor, doc, key, start, size = (repeats.joined(table, c, t) for c, t in (("anchors", np.uint64), ("docs", np.int64), ("keys", np.int64), ("starts", np.int32), ("sizes", np.int32)))
         raw, ends = b"".join(x for x in table.column("texts").to_pylist() if x), np.cumsum(size, dtype=np.int64)
         texts = [raw[b - s : b] for b, s in zip(ends.tolist(), size.tolist(), strict=True)]
-        spans = _settle(anchor, doc, key, start.astype(np.int64), texts, length) if texts else repeats.spans_of(doc, key, start, start)
-        return repeats.with_passed(table, spans)
+        return repeats.with_passed(table, decide(anchor, doc, key, start.astype(np.int64), texts, length))
 
-    among = held.mapInArrow(stretches, repeats.binaries(names)).groupBy("bucket").applyInArrow(settle, repeats.SPANS)
-    return among.unionByName(copied.withColumn("stop", F.col("stop") + (length - 1)))
+    among = held.mapInArrow(pieces, repeats.binaries(names)).groupBy("bucket").applyInArrow(settle, repeats.SPANS)
+    return among.unionByName(met.where("kind = 0").select("doc", "row_key", "start", (F.col("stop") + (length - 1)).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

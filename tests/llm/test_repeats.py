@@ -94,6 +94,16 @@ def test_texts_that_collide_modulo_2_to_64(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id, rows[r.doc_id - 1][1]]
 
 
+def test_the_transform_decides_every_span(spark, monkeypatch):
+    """Pieces that are taken for equal by a hash, but aren't; and equal ones that the transform is told to pass."""
+    docs, keys, starts = np.array([1, 2, 3]), np.zeros(3, np.int64), np.zeros(3, np.int64)
+    texts = [b"a" * 30 + b"b" * 30, b"a" * 30 + b"c" * 30, b"a" * 30 + b"c" * 30]
+    got = suffixes.decide(np.ones(3, np.uint64), docs, keys, starts, texts, 50)
+    assert {k: v.tolist() for k, v in got.items()} == {"doc": [3], "row_key": [0], "start": [0], "stop": [60]}
+    monkeypatch.setattr(suffixes, "least_owner", lambda texts, owners, length: [np.full(len(t) - length + 1, 99) for t in texts])
+    assert not len(suffixes.decide(np.ones(3, np.uint64), docs, keys, starts, texts, 50)["doc"])
+
+
 def test_automaton():
     shard = phrases.Shard({b"a b c": 1, b"c d": 5})
     assert shard.locate(b"a b c d".split(), 3) == [[0, 3]] and shard.locate(b"a b c d".split(), 9) == [[0, 4]]
