@@ -48,6 +48,11 @@ class Expectations:
             return []
         return list(self.df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"r{k}") for k, (c, _) in enumerate(self.rules))).first())
 
+    def report(self) -> DataFrame:
+        """One row ``(rule, violations)`` for each rule, from one pass and in no order."""
+        one = self.df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"r{k}") for k, (c, _) in enumerate(self.rules)))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(message.strip()).alias("rule"), F.col(f"r{k}").alias("violations")) for k, (_, message) in enumerate(self.rules)))).alias("r")).select("r.*")
+
     def check(self) -> DataFrame:
         """The rows, or ValueError with the first broken rule's message and its number of rows."""
         for n, (_, message) in zip(self.counts(), self.rules, strict=True):

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar, formats, text
 from ..operators import contracts, features, history, ranking, reports, rollup, tables, words
-from ..sources import sinks, weather
-from .panel import DAILY_SQL, HISTORY_SQL, daily, table
+from ..sources import files, sinks, weather
+from .panel import DAILY_SQL, HISTORY_SQL, SHIFT, daily, moved, scratch, table
 from .panel import history as harvest
 
 QUERIES: dict = {}
@@ -84,9 +84,9 @@ def growing_season_annotation(spark, sf_dir):
     return features.annotate_growing_season(daily(spark, sf_dir)).select("ibge_code", "date", "is_growing_season", "harvest_year")
 
 
-@query(f"{_SEASON} SELECT DISTINCT ibge_code, harvest_year FROM s WHERE harvest_year IN (1997, 1998)")
+@query(f"{_SEASON} SELECT DISTINCT ibge_code, harvest_year FROM s WHERE harvest_year IN (2005, 2006)")
 def output_harvest_years(spark, sf_dir):
-    return features.of_harvest_years(features.growing_season_features(daily(spark, sf_dir)), [1997, 1998]).select("ibge_code", "harvest_year")
+    return features.of_harvest_years(features.growing_season_features(daily(spark, sf_dir)), [2005, 2006]).select("ibge_code", "harvest_year")
 
 
 _STATE = f"""{_MONTH}, st AS (SELECT state, year, month, count(DISTINCT ibge_code) AS municipality_count, avg(total_rainfall) AS average_municipality_rainfall, avg(average_temperature) AS average_temperature,
@@ -189,31 +189,31 @@ def cutoff_note(spark, sf_dir):
 
 # Scalar functions over the bench tables.
 
-_ORDER = "SELECT o_orderkey, o_orderdate::DATE AS d, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, o_totalprice AS p, o_orderstatus AS s, o_orderpriority AS q FROM orders"
+_ORDER = f"SELECT o_orderkey, d, year(d)::INT AS y, month(d)::INT AS m, o_totalprice AS p, o_orderstatus AS s, o_orderpriority AS q FROM (SELECT *, (o_orderdate + INTERVAL {SHIFT} YEAR)::DATE AS d FROM orders)"
 
 
 def _orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("q"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", moved("o_orderdate").alias("d"), F.year(moved("o_orderdate")).alias("y"), F.month(moved("o_orderdate")).alias("m"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("q"))
 
 
-@query(f"SELECT o_orderkey, lpad((h % 100)::VARCHAR, 2, '0') || '-' || lpad(((h + 1) % 100)::VARCHAR, 2, '0') AS season, h AS start_year FROM (SELECT o_orderkey, CASE WHEN m >= 9 THEN y + 1 ELSE y END AS h FROM ({_ORDER}) WHERE y >= 2000 AND (m >= 9 OR m <= 4))")
+@query(f"SELECT o_orderkey, lpad((h % 100)::VARCHAR, 2, '0') || '-' || lpad(((h + 1) % 100)::VARCHAR, 2, '0') AS season, h AS start_year FROM (SELECT o_orderkey, CASE WHEN m >= 9 THEN y + 1 ELSE y END AS h FROM ({_ORDER}) WHERE (m >= 9 OR m <= 4))")
 def harvest_season_label(spark, sf_dir):
-    chosen = _orders(spark, sf_dir).where((F.col("y") >= 2000) & calendar.in_growing_season(F.col("m")))
+    chosen = _orders(spark, sf_dir).where(calendar.in_growing_season(F.col("m")))
     return chosen.select("o_orderkey", calendar.assigned_season(F.col("y"), F.col("m")).alias("season")).withColumn("start_year", calendar.season_start_year(F.col("season")))
 
 
-@query(f"""SELECT o_orderkey, lpad((y % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS season FROM ({_ORDER}) WHERE y >= 2000""")
+@query(f"""SELECT o_orderkey, lpad((y % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS season FROM ({_ORDER})""")
 def season_spellings(spark, sf_dir):
     """Three spellings of a season, by order key, to one label."""
     y = F.col("y").cast("string")
     after = (F.col("y") + 1).cast("string")
     spelt = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws("/", y, after)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), y, F.lit("/"), F.right(after, F.lit(2)))).otherwise(F.concat(F.right(y, F.lit(2)), F.lit("-"), F.right(after, F.lit(2)), F.lit(" ")))
-    return _orders(spark, sf_dir).where("y >= 2000").select("o_orderkey", text.harvest_season(spelt).alias("season"))
+    return _orders(spark, sf_dir).select("o_orderkey", text.harvest_season(spelt).alias("season"))
 
 
-@query(f"SELECT o_orderkey, make_date(y + CASE WHEN m >= 4 THEN 0 ELSE 1 END, m, 16) AS period_end_date FROM ({_ORDER}) WHERE y >= 2000")
+@query(f"SELECT o_orderkey, make_date(y + CASE WHEN m >= 4 THEN 0 ELSE 1 END, m, 16) AS period_end_date FROM ({_ORDER})")
 def period_end_date(spark, sf_dir):
-    made = _orders(spark, sf_dir).where("y >= 2000").select("o_orderkey", calendar.season_label(F.col("y")).alias("season"), F.concat(F.lit("16/"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"))
+    made = _orders(spark, sf_dir).select("o_orderkey", calendar.season_label(F.col("y")).alias("season"), F.concat(F.lit("16/"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"))
     return made.select("o_orderkey", calendar.period_end_date(F.col("season"), F.col("period")).alias("period_end_date"))
 
 
@@ -228,12 +228,12 @@ def cumulative_to_period(spark, sf_dir):
 def _split_history(spark, sf_dir):
     """The history up to a day, and a report that overlaps it, with a value changed every eleventh day."""
     every = harvest(spark, sf_dir).where("region <> 'centre_south'")
-    old = every.where("period_end_date < DATE '2001-03-01'")
-    new = every.where("period_end_date >= DATE '2001-01-01'")
+    old = every.where("period_end_date < DATE '2009-03-01'")
+    new = every.where("period_end_date >= DATE '2009-01-01'")
     return old, new
 
 
-_SPLIT = f"WITH h AS (SELECT * FROM ({HISTORY_SQL}) WHERE region <> 'centre_south'), o AS (SELECT * FROM h WHERE period_end_date < DATE '2001-03-01'), n AS (SELECT * FROM h WHERE period_end_date >= DATE '2001-01-01')"
+_SPLIT = f"WITH h AS (SELECT * FROM ({HISTORY_SQL}) WHERE region <> 'centre_south'), o AS (SELECT * FROM h WHERE period_end_date < DATE '2009-03-01'), n AS (SELECT * FROM h WHERE period_end_date >= DATE '2009-01-01')"
 
 
 @query(f"{_SPLIT}, c AS (SELECT * REPLACE (CASE WHEN crush_tonnes % 2 = 0 THEN crush_tonnes + 1 ELSE crush_tonnes END AS crush_tonnes) FROM n) SELECT o.season, o.period_end_date, o.region, o.crush_tonnes AS crush_tonnes_history, c.crush_tonnes AS crush_tonnes_report FROM o JOIN c USING (season, period_end_date, region) WHERE o.crush_tonnes <> c.crush_tonnes")
@@ -270,10 +270,10 @@ def dup_mask(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (rows > 1).alias("repeated"))
 
 
-@query("SELECT s AS state, harvest_year, production_thousand_tonnes FROM (SELECT o_orderstatus AS s, year(o_orderdate)::VARCHAR AS harvest_year, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS production_thousand_tonnes FROM orders WHERE year(o_orderdate) BETWEEN 1998 AND 2000 AND o_orderstatus IN ('F', 'O') GROUP BY 1, 2)")
+@query("SELECT s AS state, harvest_year, production_thousand_tonnes FROM (SELECT o_orderstatus AS s, (year(o_orderdate) + 8)::VARCHAR AS harvest_year, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS production_thousand_tonnes FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2)")
 def unpivot_production(spark, sf_dir):
     """Yearly totals of each status as a wide sheet, and back to rows."""
-    wide = _orders(spark, sf_dir).groupBy(F.col("s").alias("Estado/Safra")).pivot("y", [1998, 1999, 2000]).agg(F.sum(F.col("p").cast("decimal(12,2)")).cast("double"))
+    wide = _orders(spark, sf_dir).groupBy(F.col("s").alias("Estado/Safra")).pivot("y", list(range(2003, 2010))).agg(F.sum(F.col("p").cast("decimal(12,2)")).cast("double"))
     return tables.state_production(wide, ["F", "O"])
 
 
@@ -296,11 +296,11 @@ def region_cell_parse(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", text.region_cell(cell).alias("v")).select("o_orderkey", "v.*")
 
 
-@query(f"SELECT o_orderkey, lpad((y % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS previous, lpad(((y + 1) % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 2) % 100)::VARCHAR, 2, '0') AS current FROM ({_ORDER}) WHERE y >= 2000")
+@query(f"SELECT o_orderkey, lpad((y % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS previous, lpad(((y + 1) % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 2) % 100)::VARCHAR, 2, '0') AS current FROM ({_ORDER})")
 def header_labels(spark, sf_dir):
     pair = lambda k: F.concat_ws("/", (F.col("y") + k).cast("string"), (F.col("y") + k + 1).cast("string"))
     cells = F.array(F.lit("Período"), pair(0), F.lit(None).cast("string"), F.concat(pair(1), F.lit(" "), pair(0)))
-    return _orders(spark, sf_dir).where("y >= 2000").select("o_orderkey", text.header_seasons(cells).alias("v")).select("o_orderkey", "v.*")
+    return _orders(spark, sf_dir).select("o_orderkey", text.header_seasons(cells).alias("v")).select("o_orderkey", "v.*")
 
 
 @query("SELECT * FROM (SELECT 'doc_id' AS \"column\", count(*) FILTER (d.doc_id IS NULL) AS missing FROM documents d UNION ALL SELECT 'quality', count(*) FILTER (quality IS NULL) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT 'toxic', count(*) FILTER (toxic IS NULL) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
@@ -343,10 +343,14 @@ def table_rows_from_words(spark, sf_dir):
     return words.tables(placed).select("doc", "row_idx", *(F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(4)))
 
 
-@query(f"SELECT o_orderkey, y FROM ({_ORDER}) WHERE y IN (1998, 2000)")
+@query(f"SELECT y AS _year, o_orderkey, p::DOUBLE AS price, d AS day FROM ({_ORDER})")
 def year_union_scan(spark, sf_dir):
-    every = _orders(spark, sf_dir).select("o_orderkey", "y")
-    return contracts.union_all([every.where(F.col("y") == y) for y in (1998, 2000)])
+    """All orders written as one file for each year, and read again as one table."""
+    every = _orders(spark, sf_dir).select("y", "o_orderkey", F.col("p").cast("double").alias("price"), F.col("d").alias("day"))
+    folder, years = scratch(spark), list(range(2003, 2010))
+    for y in years:
+        every.where(F.col("y") == y).drop("y").write.option("header", True).csv(f"{folder}/{y}.csv")
+    return files.read_years(spark, folder, years, "o_orderkey bigint, price double, day date")
 
 
 @query("SELECT nation.*, s AS number_text FROM nation, (SELECT 1) LEFT JOIN (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 100 BETWEEN 10 AND 20 THEN n_nationkey || 'th' WHEN n_nationkey % 10 = 1 THEN n_nationkey || 'st' WHEN n_nationkey % 10 = 2 THEN n_nationkey || 'nd' WHEN n_nationkey % 10 = 3 THEN n_nationkey || 'rd' ELSE n_nationkey || 'th' END AS s FROM nation) ON k = n_nationkey")
@@ -365,3 +369,6 @@ def checked_report(spark, sf_dir):
 def translated_headers(spark, sf_dir):
     raw = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" "), F.col("c_mktsegment")).alias("REGIÃO"), F.col("c_name").alias("Safra"))
     return tables.translate(raw)
+
+
+from . import violations  # noqa: E402, F401 - registers its queries
