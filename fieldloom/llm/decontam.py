@@ -5,13 +5,17 @@ one window) become a sorted array of hashes that every task gets by broadcast.
 Tasks scan the word windows of the training texts, compare the words of every
 hash hit, and mark the words of verified hits.
 
-The broadcast is bounded: items are dealt to blocks of at most ``block_bytes``
-of text, and the documents pass through one scan for each block. So memory per
-task doesn't grow with the benchmark, and no shuffle is needed.
+The broadcast is bounded: items are dealt to blocks of about ``block_bytes`` of
+text, the documents pass through one scan for each block, and a benchmark of more
+than ``most_bytes`` is an error. No shuffle is needed. Spans are removed once all blocks
+have been searched, so the blocks make no difference to the result.
 
 Defined results: a null or empty text has no words and is never contaminated;
 rows are judged one by one, so repeated ids give repeated rows; an empty
-benchmark marks nothing; items of null text have no windows.
+benchmark marks nothing and an empty table gives an empty one; items of null text
+have no windows; texts of any length are searched whole, in time proportional to
+it; columns of the input stay, but :func:`contamination` replaces those named like
+its three results.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 _TABLE = arrays.byte_table(10)
 #: Text of benchmark items that one broadcast holds.
 BLOCK_BYTES = 8_000_000
+#: Text of all items together.
+MOST_BYTES = 256_000_000
+#: Results of :func:`contamination`.
+RESULTS = ("n_words", "hit_spans", "hit_items")
 
 
 class Windows:
@@ -80,7 +88,7 @@ def _hits(raw, starts, ends, hashes, first, windows: Windows):
 
 
 def _scan(column: pa.Array, windows: Windows):
-    """For every row: number of words, hit spans of words (merged), the items; byte spans of hits."""
+    """For every row: number of words, hit spans of words (merged), the items."""
     data, offsets = arrays.column_bytes(column)
     for a, b in arrays.chunks(offsets):
         raw = arrays.LOWER[data[offsets[a] : offsets[b]]]
@@ -98,35 +106,37 @@ def _scan(column: pa.Array, windows: Windows):
                     spans[-1][1] = max(spans[-1][1], e - base)
                 else:
                     spans.append([s - base, e - base])
-            cut = [(int(starts[s + base] - own[row]), int(ends[e + base - 1] - own[row])) for s, e in spans]
-            yield int(first[row + 1] - base), spans, sorted({i for *_, items in hit for i in items}), cut
+            yield int(first[row + 1] - base), spans, sorted({i for *_, items in hit for i in items})
 
 
-def blocks(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
+def blocks(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, most_bytes: int = MOST_BYTES) -> list:
     """Broadcast window sets of bounded size that together hold the whole benchmark."""
     spark = benchmark.sparkSession
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text, more than the {most_bytes} that are broadcast")
     count = -(-size // block_bytes)
     part = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(count, 1))))
     return [spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in part.where(F.col("block") == k).collect()], n)) for k in range(count)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with n_words, hit_spans (merged word ranges) and hit_items (sorted as strings)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", into: tuple[str, str, str] = RESULTS, **options) -> DataFrame:
+    """``docs`` with n_words, hit_spans (word ranges, merged by block) and hit_items (sorted as strings), or the names in ``into``."""
     spans = "array<struct<first:int,last:int>>"
-    out = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_spans": F.array().cast(spans), "hit_items": F.array().cast("array<string>")})
+    out = docs.withColumns(dict(zip(into, (F.lit(None).cast("bigint"), F.array().cast(spans), F.array().cast("array<string>")), strict=True)))
     sets = blocks(benchmark, n, **options) or [docs.sparkSession.sparkContext.broadcast(Windows([], n))]
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    kinds = (pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string()))
     for block in sets:
 
         def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
-            counts, ranges, items = [], [], []
-            for k, (words, hits, names, _) in enumerate(_scan(batch.column(text_col), block.value)):
-                counts.append(words)
-                ranges.append(batch.column("hit_spans")[k].as_py() + [{"first": s, "last": e} for s, e in hits] if hits else batch.column("hit_spans")[k].as_py())
-                items.append(sorted({*batch.column("hit_items")[k].as_py(), *names}))
-            new = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(ranges, kind), "hit_items": pa.array(items, pa.list_(pa.string()))}
+            made: tuple[list, list, list] = ([], [], [])
+            before = [batch.column(c) for c in into[1:]]
+            for k, (words, hits, names) in enumerate(_scan(batch.column(text_col), block.value)):
+                made[0].append(words)
+                made[1].append(before[0][k].as_py() + [{"first": s, "last": e} for s, e in hits])
+                made[2].append(sorted({*before[1][k].as_py(), *names}))
+            new = {c: pa.array(values, kind) for c, values, kind in zip(into, made, kinds, strict=True)}
             return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
         out = arrays.map_batches(out, work, out.schema)
@@ -143,32 +153,40 @@ def hit_words(spans: Column) -> Column:
     return step["n"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit spans.
+def without_words(text: str, spans: list[dict]) -> str:
+    """A text without the characters from the first to the last word of each word range."""
+    if not spans:
+        return text
+    raw = text.encode()
+    starts, ends, _ = arrays.words(arrays.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), WORD)
+    out, upto, last = [], 0, -1
+    for first, after in sorted((s["first"], s["last"]) for s in spans):
+        if first > last:  # ranges that touch are one: what is between their words goes too
+            out.append(raw[upto : int(starts[first])])
+        last = max(last, after)
+        upto = int(ends[last - 1])
+    return b"".join([*out, raw[upto:]]).decode()
+
 
-    Cutting happens block by block, so with more than one block a later one is
-    looked for in what the earlier ones left.
-    """
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit spans."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    for block in blocks(benchmark, n, **options):
-
-        def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch | None:
-            cuts = [cut for *_, cut in _scan(batch.column(text_col), block.value)]
-            if remove == "documents":
-                return batch.filter(pa.array([not c for c in cuts]))
-            texts = []
-            for value, cut in zip(batch.column(text_col), cuts, strict=True):
-                text = value.as_py()
-                if cut:
-                    raw, edges = text.encode(), [0, *(x for span in cut for x in span)]
-                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], [*edges[1::2], len(raw)], strict=True)).decode()
-                texts.append(text)
-            at = batch.schema.get_field_index(text_col)
-            return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-        docs = arrays.map_batches(docs, work, docs.schema)
-    return docs
+    mark = max((len(c) for c in docs.columns), default=0)
+    into = tuple(f"{c}{'_' * mark}" for c in RESULTS)  # longer than any name of the input
+    found = contamination(docs, benchmark, n, text_col, into, **options)
+    if remove == "documents":
+        return found.where(F.size(into[1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    names = docs.columns
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [without_words(t, s) for t, s in zip(batch.column(text_col).to_pylist(), batch.column(into[1]).to_pylist(), strict=True)]
+        at = batch.schema.get_field_index(text_col)
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        return batch.select(names)
+
+    return arrays.map_batches(found, work, docs.schema)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ pages, in which elements of the main text carry the attribute ``data-main``.
 :func:`labelled_pages` makes a bounded set of them from layout rules.
 
 Defined results: null or empty html gives an empty text; rows are judged one
-by one, so repeated rows give repeated results; elements nested more than
-``DEPTH`` deep count as children of the one at that depth (their text stays);
-script, style, textarea, title and iframe hold raw text, which is skipped to their
+by one, so repeated rows give repeated results; an empty table gives an empty one;
+elements may be nested as deep as they like; time and memory go in proportion to
+the length of a page; a tag that is never closed by ``>`` is text; script, style, textarea, title and iframe hold raw text, which is skipped to their
 end tag or the page's end, as browsers do; all other elements are nodes (a
 self-closed svg is none);
 columns of the input stay, but for one named like the result.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,12 @@ from pyspark.sql import functions as F
 
 from . import arrays
 
-DEPTH = 256
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>"
     r"|<[!?/][^>]*>"
     r"|([^<]+|<)",
     re.S | re.I,
@@ -77,14 +77,18 @@ EDGES = 3
 class Page:
     """Elements of one page, and its text blocks as runs of (element, text)."""
 
-    __slots__ = ("kinds", "hints", "parents", "depths", "inline", "own", "stops", "blocks", "gold")
+    __slots__ = ("kinds", "hints", "parents", "depths", "inline", "own", "stops", "blocks", "gold", "opened")
 
     def __init__(self, source: str):
         self.kinds, self.hints, self.parents, self.depths, self.inline = [15], [()], [-1], [0], [0]
         self.own, self.stops, self.gold = [0], [0], [False]
         self.blocks: list[list[tuple[int, str]]] = [[]]
-        stack, tags = [0], ["html"]
+        stack, tags, self.opened = [0], ["html"], Counter()
+        end = source.rfind(">") + 1
         for found in _TOKEN.finditer(source):
+            if found.start() >= end:  # no tag ends any more; looking on at each "<" would take the square of the length
+                self._text(stack[-1], source[found.start() :].partition("<!--")[0])
+                break
             raw, slash, tag, attributes, slash2, tag2, attributes2, text = found.groups()
             if text is not None:
                 self._text(stack[-1], text)
@@ -117,15 +121,21 @@ class Page:
             return
         if tag not in _INLINE:
             self._cut()
+        if not self.opened[tag]:
+            return
         for at in range(len(tags) - 1, 0, -1):
             if tags[at] == tag:
-                del tags[at:], stack[at:]
+                self._drop(at, stack, tags)
                 return
             if tags[at] in _WALLS and (tag in _INLINE or tag == "p"):
                 return
 
+    def _drop(self, at: int, stack: list[int], tags: list[str]) -> None:
+        self.opened.subtract(tags[at:])
+        del tags[at:], stack[at:]
+
     def _open(self, tag: str, attributes: str, stack: list[int], tags: list[str]) -> None:
-        if tag in ("html", "body") and tag in tags[1:] or tag == "html":
+        if tag == "body" and self.opened[tag] or tag == "html":
             return
         if tag == "br":
             self.blocks[-1].append((stack[-1], " "))
@@ -135,9 +145,9 @@ class Page:
         ends = ("p",) if tag in _CLOSES_P else _CLOSES.get(tag, ())
         if tag in ("body",):
             ends = ("head",)
-        for at in range(len(tags) - 1, 0, -1) if ends else ():
+        for at in range(len(tags) - 1, 0, -1) if any(self.opened[e] for e in ends) else ():
             if tags[at] in ends:
-                del tags[at:], stack[at:]
+                self._drop(at, stack, tags)
                 if tag not in ("tr", "dt", "dd"):
                     break
             elif tags[at] in _WALLS:
@@ -154,11 +164,9 @@ class Page:
         self.own.append(0)
         self.stops.append(0)
         self.gold.append("data-main" in attributes)
-        stack.append(node if self.depths[node] < DEPTH else stack[-1])
+        stack.append(node)
         tags.append(tag)
-        if stack[-1] != node:  # too deep: what follows belongs to the element above
-            for column in (self.kinds, self.hints, self.parents, self.depths, self.inline, self.own, self.stops, self.gold):
-                column.pop()
+        self.opened[tag] += 1
 
     def text(self, kept: np.ndarray) -> str:
         """Blocks of the elements that are kept."""
@@ -321,6 +329,11 @@ def labelled_pages(count: int = 300, seed: int = 4) -> list[str]:
         tag = ("article", "main", "div", "div")[k % 4]
         pages.append(inner if k < 4 else f"<{tag} data-main>{inner}</{tag}>" if k % 2 else f"<{tag} data-main>{phrase(1, 3)}{inner}</{tag}>")
     pages += [f"<nav><a href='/'>{word()}</a></nav>" for _ in range(3)] + [f"<div data-main>{'<div data-main>' * k}{phrase(1, 4)}{'</div>' * k}</div>" for k in (1, 4, 9, 30)]
+    for k in (1, 2, 4, 9, 16, 30, 60):  # clutter under many wrappers, beside the main text
+        for name in ("nav", "menu"):
+            deep = f"{'<div data-main>' * k}<{'nav' if name == 'nav' else 'div'} class='{r.choice(_HINTS[1].split())}'><ul>{links()}</ul></{'nav' if name == 'nav' else 'div'}>{'</div>' * k}"
+            inner = f"<p data-main>{phrase(10, 60)}</p>{deep}<p data-main>{phrase(10, 60)}</p>"
+            pages.append(f"<body data-main><article data-main>{inner}</article></body>" if name == "nav" else f"<body data-main>{deep}<article data-main><p data-main>{phrase(10, 60)}</p></article></body>")
     return pages
 
 

@@ -9,11 +9,13 @@ one-versus-rest kernel ridge regression is solved in it: tasks send the normal
 equations (landmarks x landmarks) of the training sample, never its texts.
 Scoring a batch is two matrix products: presence x landmarks, kernel x weights.
 
-Bounds (parameters): ``landmarks`` (over all languages ``most_landmarks``, or
+Bounds (parameters): ``grams`` n-grams of each order, those of most landmarks;
+``landmarks`` (over all languages ``most_landmarks``, or
 one each) and ``sample`` rows per language of the ``most_languages`` most frequent
 labels, chosen by
-the least hash of their text among distinct texts of up to ``fit_chars`` characters.
-What is predicted is always the whole text.
+the least hash of their text among distinct texts of up to ``fit_chars`` characters,
+or among the longer ones where a language has no shorter. What is predicted is always
+the whole text, in time proportional to its length.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
 so is everything if there is nothing to learn from; ties take the first
@@ -34,6 +36,8 @@ from pyspark.sql.window import Window
 from . import arrays, durable
 
 ORDERS = (1, 2, 3, 4)
+#: N-grams of each order in the kernel at most.
+GRAMS = 6000
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
@@ -63,7 +67,7 @@ def _slots(data: np.ndarray, n: int) -> np.ndarray:
 class Kernel:
     """Blended-spectrum presence kernel against fixed landmarks."""
 
-    def __init__(self, landmarks: list[bytes], most: int = 6000):
+    def __init__(self, landmarks: list[bytes], most: int = GRAMS):
         self.tables, self.width, blocks = {}, 0, []
         for n in ORDERS:
             own = [np.unique(_slots(np.frombuffer(x, np.uint8), n)) for x in landmarks]
@@ -116,16 +120,16 @@ class Model:
         return names, scores
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landmarks: int = 48, sample: int = 900, fit_chars: int = 20_000, most_landmarks: int = 1200, most_languages: int = 1000, ridge: float = 1e-3) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landmarks: int = 48, sample: int = 900, fit_chars: int = 20_000, most_landmarks: int = 1200, most_languages: int = 1000, grams: int = GRAMS, ridge: float = 1e-3) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= fit_chars))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("short", F.length("text") <= fit_chars)
     # The rows of least hash, found among a share of each language's rows that is about four times as large; copies count once.
     most = landmarks + sample
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    table = spark.createDataFrame([(r.lang, max(1.0, r["count"] / (4.0 * most))) for r in counts], "lang string, one_of double")
-    share = rows.join(F.broadcast(table), "lang").withColumn("order", F.xxhash64("text")).where(F.pmod("order", F.lit(1 << 40)) < F.lit(float(1 << 40)) / F.col("one_of"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_if("short").alias("short")).orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
+    table = spark.createDataFrame([(r.lang, max(1.0, (r.short or r.rows) / (4.0 * most)), r.short == 0) for r in counts], "lang string, one_of double, long boolean")
+    share = rows.join(F.broadcast(table), "lang").where(F.col("short") | F.col("long")).withColumn("order", F.xxhash64("text")).where(F.pmod("order", F.lit(1 << 40)) < F.lit(float(1 << 40)) / F.col("one_of"))
     share = share.groupBy("lang", "order").agg(F.min("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 40)), "text"))
     chosen = durable.keep(share.withColumn("nth", nth).where(F.col("nth") <= most))
@@ -133,7 +137,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landm
     languages = sorted({r.lang for r in own})
     if not languages:
         return Model([], None, None)
-    kernel = Kernel([letters(r.text) for r in own if letters(r.text)])
+    kernel = Kernel([letters(r.text) for r in own if letters(r.text)], grams)
     shared = spark.sparkContext.broadcast((kernel, languages))
     size = kernel.blocks[0].shape[1]
 

@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts of the cells (source x language x topic) are raked in turn to the
-target share of every source, language and topic. A document of a cell is then
+target share of every source, language and topic, until no share is off by more
+than ``tolerance`` (targets that no weights can meet, as by categories that never occur
+together, end after ``rounds`` with a warning that states the remaining error). A document of a cell is then
 sampled with a probability in proportion to the cell's raked weight by token,
 scaled so that the expected sample has ``share`` of the tokens; probabilities
 stop at one, the rest of the scale goes to the other cells, and ``weight`` is
@@ -23,13 +25,15 @@ stay, but for those named like results, which are replaced.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import durable
 
-ROUNDS, SHARE, POWER, MOST_CELLS = 25, 0.6, 0.5, 1_000_000
+ROUNDS, TOLERANCE, SHARE, POWER, MOST_CELLS = 500, 1e-10, 0.6, 0.5, 1_000_000
 DIMENSIONS = ("source", "lang", "topic")
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,13 +59,21 @@ def features(docs: DataFrame, text_col: str = "text", topic_col: str | None = No
     return out.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit("none")) for d in DIMENSIONS})
 
 
-def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the cells after ``rounds`` of fitting each marginal in turn."""
+def error(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> float:
+    """The greatest difference between a category's share and its target."""
+    return max((float(np.abs(np.bincount(c, weights, len(t)) - t).max()) for c, t in zip(codes, targets, strict=True) if len(t)), default=0.0)
+
+
+def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Weights of the cells after fitting each marginal in turn until all are met within ``tolerance``."""
     weights = cells.astype(float)
     for _ in range(rounds):
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, weights, len(target))
             weights = weights * np.divide(target, now, out=np.zeros(len(target)), where=now > 0)[code]
+        if error(weights, codes, targets) <= tolerance:
+            return weights
+    warnings.warn(f"after {rounds} rounds a share is off its target by {error(weights, codes, targets):.2g}", stacklevel=2)
     return weights
 
 
@@ -80,7 +92,7 @@ def calibrate(cells: np.ndarray, factors: np.ndarray, budget: float) -> tuple[np
     return np.minimum(1.0, scale * factors), scale * factors
 
 
-def probabilities(found: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
+def probabilities(found: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, power: float = POWER, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each cell: the dimensions, ``p`` and ``weight``."""
     spark = found.sparkSession
     rows = found.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")).limit(MOST_CELLS + 1).collect()
@@ -97,7 +109,7 @@ def probabilities(found: DataFrame, targets: dict[str, dict[str, float]] | None
         aim = np.bincount(code, cells).astype(float) ** power if targets is None or d not in targets else np.array([targets[d].get(n, 0.0) for n in names.tolist()], float)
         codes.append(code)
         shares.append(aim / aim.sum() if aim.sum() else aim)
-    raked = rake(cells, codes, shares, rounds)
+    raked = rake(cells, codes, shares, rounds, tolerance)
     factors = np.divide(raked, cells, out=np.zeros(len(cells)), where=cells > 0)
     p, scaled = calibrate(cells, factors, share * cells.sum())
     weight = np.divide(scaled, p, out=np.ones(len(p)), where=p > 0)
@@ -128,9 +140,13 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *DIMENSIONS, "n_tokens", F.round("p", 6).alias("p"), F.round("weight", 6).alias("weight"), (draw() < F.col("p")).alias("sampled"))
 
 
+#: Rounds in SQL, which can't stop when the error is small enough.
+SQL_ROUNDS = 40
+
+
 def _oracle() -> str:
     steps, last = [], "c0"
-    for k in range(ROUNDS * 3):
+    for k in range(SQL_ROUNDS * 3):
         d = DIMENSIONS[k % 3]
         steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.* REPLACE (coalesce(w * t{d} / nullif(sum(w) OVER (PARTITION BY {d}), 0), 0) AS w) FROM {last} c)")
         last = f"c{k + 1}"

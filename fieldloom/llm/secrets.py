@@ -3,18 +3,25 @@
 Known forms (assignments, access keys, hexadecimal runs) are found by pattern.
 Besides them every token of ``[A-Za-z0-9+/_=-]`` with 20 or more characters that
 touches no such span is a candidate. Its encoding is inferred from its
-characters; against "random in this alphabet" it takes three tests: chi-squared
-for uniform use of the alphabet, the runs test about the alphabet's middle, and
-serial correlation of neighbours. A candidate passes if none of the three
-p-values, times three, is under ``alpha``. Against "ordinary text" it gets one
-p-value from repeats of characters (text repeats more) and changes of
-character class (text changes less), both of which sharpen with length.
-Candidates of similar length share the Benjamini-Hochberg control of false
-discoveries at level ``q`` over the whole corpus, so short tokens, which text
-produces by chance, need stronger evidence where they are many.
+characters, and three statistics are taken: chi-squared for uniform use of the
+alphabet, runs, and serial correlation of neighbours. Each is read twice:
+
+* against "random in this alphabet": a candidate passes if none of the three
+  p-values, times three, is under ``alpha`` (runs about the alphabet's middle);
+* against "ordinary text", which repeats characters more, changes their class less and
+  puts like characters side by side: the three standardised distances (runs of
+  classes here) add up to one p-value by Stouffer's rule.
+
+The combined p-values of candidates of similar length share the
+Benjamini-Hochberg control of false discoveries at level ``q`` over the whole
+corpus, so short tokens, which text produces by chance, need stronger evidence
+where they are many.
 
 Defined results: null text is empty; repeated rows have equal results, and each
-counts in the control; spans are code points, end exclusive.
+counts in the control; an empty table gives an empty one; spans are code points,
+end exclusive; a text with n matches costs n times the square root of n besides
+its length; columns of the input stay, but those named ``base``, ``candidates``
+or ``spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -44,27 +51,54 @@ ENCODINGS = (
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
     ("any", "+-/" + _DIGITS + "=" + _UPPER + "_" + _LOWER),
 )
-#: Under ordinary text: chance that two characters agree, that the class changes between neighbours.
-TEXT_AGREE, TEXT_CHANGE = 0.065, 0.3
+#: Under ordinary text: chance that two characters agree, that the class changes between neighbours; serial correlation.
+TEXT_AGREE, TEXT_CHANGE, TEXT_SERIAL = 0.065, 0.3, 0.1
 #: Classes of length for the control of false discoveries: up to and with.
 STRATA = (27, 39, 63)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(rows: Column, zero: Column, step, out, kind: str) -> Column:
+    """``out(state, row)`` of every row, with the state that ``step`` makes of all rows before it.
+
+    Rows go in blocks of the square root of their number: arrays that grow by one element at a time are copied each time.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("out")), lambda a, m: F.struct(step(a["state"], m).alias("state"), F.concat(a["out"], F.array(out(a["state"], m))).alias("out")))
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def blocks(all_rows: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_rows))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.size(all_rows), size), lambda at: F.slice(all_rows, at, size))
+
+    return F.flatten(F.aggregate(let(rows, blocks), F.struct(zero.alias("state"), nothing.alias("out")), block)["out"])
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """``array<struct<start,end,part>>`` of a pattern's leftmost matches that don't overlap."""
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    kind = "array<struct<start:int,end:int,part:string>>"
-    walked = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(m["gap"])).alias("start"), (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("end"), m["part"].alias("part")))).alias("out"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked["out"]).otherwise(F.array().cast(kind))
+    sizes = lambda of: F.transform(of, lambda x: F.length(x))
+    rows = let(F.struct(pieces.alias("gap"), whole.alias("whole"), part.alias("part")), lambda r: F.arrays_zip(F.slice(sizes(r["gap"]), 1, F.size(r["whole"])).alias("gap"), sizes(r["whole"]).alias("whole"), r["part"].alias("part")))
+    span = lambda at, m: F.struct((at + m["gap"]).alias("start"), (at + m["gap"] + m["whole"]).alias("end"), m["part"].alias("part"))
+    kind = "struct<start:int,end:int,part:string>"
+    return F.when(text.rlike(pattern), scanned(rows, F.lit(0), lambda at, m: at + m["gap"] + m["whole"], span, kind)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def untouched(tokens: Column, base: Column) -> Column:
+    """``tokens`` (disjoint) that overlap no span of ``base``: one pass over the starts of spans and the ends of tokens, with the furthest end of a span so far."""
+    kind = "struct<start:int,end:int,part:string>"
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("kind"), b["end"].alias("other"), F.lit(None).cast("string").alias("part")))
+    ends = F.transform(tokens, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("kind"), t["start"].alias("other"), t["part"].alias("part")))
+    free = lambda far, e: F.when((e["kind"] == 0) & (far <= e["other"]), F.struct(e["other"].alias("start"), e["at"].alias("end"), e["part"].alias("part")))
+    left = scanned(F.array_sort(F.concat(starts, ends)), F.lit(0), lambda far, e: F.when(e["kind"] == 1, F.greatest(far, e["other"])).otherwise(far), free, kind)
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(F.array_compact(left))
 
 
 def known(text: Column, kind: int) -> Column:
@@ -120,17 +154,19 @@ def battery(token: Column, name: Column) -> Column:
         power = F.aggregate(at, F.lit(0.0), lambda a, v: a + (v - middle) * (v - middle))
         lagged = F.aggregate(index, F.lit(0.0), lambda a, i: a + (F.get(at, i) - middle) * (F.get(at, i - 1) - middle))
         serial = (lagged / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+        # Chi-squared again, as the number of pairs of characters that agree.
         pairs, agree = n * (n - 1) / 2, (squares - n) / 2
         fewer = (pairs * TEXT_AGREE - agree) / F.sqrt(pairs * TEXT_AGREE * (1 - TEXT_AGREE))
         kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3)
         changes = F.aggregate(index, F.lit(0.0), lambda a, i: a + (kind(F.get(s["chars"], i)) != kind(F.get(s["chars"], i - 1))).cast("double"))
         more = (changes - (n - 1) * TEXT_CHANGE) / F.sqrt((n - 1) * TEXT_CHANGE * (1 - TEXT_CHANGE))
+        apart = (TEXT_SERIAL - lagged / F.greatest(power, F.lit(1e-9))) * F.sqrt(n)
         both_sides = lambda z: F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
         values = F.struct(
             upper_tail(cube).alias("chi2_p"),
             F.when((high == 0) | (low == 0), 0.0).otherwise(both_sides((runs - mean_runs) / spread)).alias("runs_p"),
             both_sides(serial).alias("serial_p"),
-            upper_tail((fewer + more) / 1.4142135623730951).alias("text_p"),
+            upper_tail((fewer + more + apart) / 1.7320508075688772).alias("text_p"),
         )
         # Padding alone is no secret.
         return F.when(n >= 4, values).otherwise(F.struct(*(F.lit(v).alias(c) for c, v in (("chi2_p", 0.0), ("runs_p", 0.0), ("serial_p", 0.0), ("text_p", 1.0)))))
@@ -155,15 +191,15 @@ def scan(docs: DataFrame, text_col: str = "text", alpha: float = 0.001, q: float
     """``docs`` without the text, with ``base`` and ``spans``: ordered ``array<struct<start,kind,end>>`` (kind: place in FORMS, 3 for random)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = [known(text, k) for k in range(len(FORMS))]
-    out = docs.withColumn("base", F.array_sort(F.concat(*base)))
-    tokens = F.filter(found(text, CANDIDATE), lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    out = docs.withColumns({"base": F.array_sort(F.concat(*base)), "candidates": found(text, CANDIDATE)}).drop(text_col)
+    tokens = untouched(F.col("candidates"), F.col("base"))
 
     def judged(m: Column) -> Column:
         name = encoding(m["part"])
         result = battery(m["part"], name)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), name.alias("encoding"), result.alias("result"))
 
-    out = out.withColumn("candidates", F.transform(tokens, judged)).drop(text_col)
+    out = out.withColumn("candidates", F.transform(tokens, judged))
     result = lambda c: c["result"]
     step = lambda c: F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(result(c)["text_p"], F.lit(1e-300))) / STEP)).cast("int")
     passed = lambda c: 3 * F.least(result(c)["chi2_p"], result(c)["runs_p"], result(c)["serial_p"]) >= alpha

@@ -2,25 +2,32 @@
 
 A fingerprint has bit k if more than half of the text's word shingles have it
 in their XXH64. Documents with equal fingerprints are one row from the start.
-Fingerprints within ``radius`` bits agree on one of ``radius + 1`` blocks of bits,
-so each stands in as many orders, rotated so that its block leads, sorted by
-Gray rank (range partitions: no key is gathered in a task). Consecutive
-fingerprints of one block value form leaves of at most ``LEAF``; a leaf's upper
-node is the pattern that its fingerprints share (mask and bits).
+Fingerprints within ``radius`` bits agree on ``k`` of ``radius + k`` blocks of bits, for
+any ``k``: so each stands in one order for each choice of ``k`` blocks, with these
+in front, sorted by Gray rank (range partitions: no key is gathered in a task).
+``k`` is the least at which there are as many values of the front as leaves, so
+a value has about one leaf at every size. Consecutive fingerprints of one front
+form leaves of at most ``LEAF``; a leaf's upper node is the pattern that its
+fingerprints share (mask and bits).
 
 Within a leaf, smaller nodes of 16 are compared first: the bits on which two
 nodes are known to differ add up, and whole pairs of nodes go if that is beyond
-the radius. Leaves of one block value (only large groups have several) are
-joined on their upper nodes with the same rule, then searched in the same way.
-Each search sends a spanning forest of its links, never all pairs; the
+the radius. Leaves of one front (only dense groups have several) are joined on
+their upper nodes with the same rule, and those that are left are searched in the
+same way. Each search sends a spanning forest of its links, never all pairs; the
 components of these links are exact.
 
 Defined results: null and empty texts have fingerprint zero, which is linked
-like any other; rows that repeat an id share a component.
+like any other; rows that repeat an id share a component; a null id is never the
+least of its component unless all are null; an empty table gives an empty one;
+texts are hashed whole, in time proportional to their length; of the input's
+columns the id alone is returned.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -74,15 +81,26 @@ def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fp", size
     return arrays.map_batches(out, work, schema)
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of each block."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _rotate(fp: np.ndarray, by: int) -> np.ndarray:
-    """Bits moved up by ``by`` (of 64), those at the top to the bottom."""
-    return fp if by % 64 == 0 else (fp << np.uint64(by % 64)) | (fp >> np.uint64(64 - by % 64))
+def fronts(radius: int, count: int) -> list[list[tuple[int, int]]]:
+    """Orders of bits: first bit and width of each block, those of the front first; the last entry is the width of the front."""
+    k = 1
+    while count > LEAF << (64 * k // (radius + k)):
+        k += 1
+    edges = [64 * n // (radius + k) for n in range(radius + k + 1)]
+    blocks = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    made = []
+    for chosen in combinations(range(len(blocks)), k):
+        front = [blocks[n] for n in chosen]
+        made.append([*front, *(b for n, b in enumerate(blocks) if n not in chosen), (0, sum(w for _, w in front))])
+    return made
+
+
+def ordered(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """The blocks of bits of each value in another order."""
+    out = np.zeros_like(fp)
+    for first, width in order[:-1]:
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(first)) & np.uint64((1 << width) - 1))
+    return out
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -145,12 +163,11 @@ def search(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
 _LEAVES = "turn int, head bigint, leaf bigint, mask bigint, bits bigint, fps binary, links binary"
 
 
-def _leaves(batches, radius: int):
-    """Leaves of rows that come in order of (turn, Gray rank); no leaf goes over a block value."""
+def _leaves(batches, radius: int, orders: list[list[tuple[int, int]]]):
+    """Leaves of rows that come in order of (turn, Gray rank); no leaf goes over the value of a front."""
     from pyspark import TaskContext
 
     serial = TaskContext.get().partitionId() << 40
-    spans = _blocks(radius)
     rest_turn, rest = None, np.zeros(0, np.uint64)
 
     def leaf(turn: int, head: int, fps: np.ndarray) -> dict:
@@ -162,8 +179,7 @@ def _leaves(batches, radius: int):
 
     def cut(turn: int, fps: np.ndarray, last: bool):
         """Leaves of ``fps``, and those at the end that must wait for more."""
-        start, width = spans[turn]
-        heads = _rotate(fps, start) >> np.uint64(64 - width)
+        heads = ordered(fps, orders[turn]) >> np.uint64(64 - orders[turn][-1][1])
         edges = [0, *(np.flatnonzero(heads[1:] != heads[:-1]) + 1).tolist(), len(fps)]
         made = []
         for a, b in zip(edges, edges[1:], strict=False):
@@ -197,17 +213,18 @@ def _leaves(batches, radius: int):
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints (column ``fp``) whose components are those of all pairs within ``radius``."""
     spark = fps.sparkSession
+    orders = fronts(radius, fps.count())
 
     def turns(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().astype(np.uint64)
-            for turn, (start, _) in enumerate(_blocks(radius)):
-                rank = gray_rank(_rotate(fp, start)) ^ (np.uint64(1) << np.uint64(63))  # signed order of longs
+            for turn, order in enumerate(orders):
+                rank = gray_rank(ordered(fp, order)) ^ (np.uint64(1) << np.uint64(63))  # signed order of longs
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), turn, np.int32)), pa.array(rank.astype(np.int64)), batch.column("fp")], names=["turn", "rank", "fp"])
 
     turned = fps.select("fp").mapInArrow(turns, "turn int, rank bigint, fp bigint")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    leaves = durable.keep(turned.repartitionByRange(count, "turn", "rank").sortWithinPartitions("turn", "rank").mapInArrow(lambda b: _leaves(b, radius), _LEAVES))
+    leaves = durable.keep(turned.repartitionByRange(count, "turn", "rank").sortWithinPartitions("turn", "rank").mapInArrow(lambda b: _leaves(b, radius, orders), _LEAVES))
 
     def pairs(column: str):
         def run(batches):
@@ -219,10 +236,13 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         return run
 
     inside = leaves.select("links").where(F.length("links") > 0).mapInArrow(pairs("links"), "a bigint, b bigint")
-    upper = leaves.select("turn", "head", "leaf", "mask", "bits", "fps")
-    other = upper.select("turn", "head", *(F.col(c).alias(f"{c}2") for c in ("leaf", "mask", "bits", "fps")))
+    # Upper nodes first; the fingerprints of those that are left follow.
+    upper = leaves.select("turn", "head", "leaf", "mask", "bits")
+    other = upper.select("turn", "head", *(F.col(c).alias(f"{c}2") for c in ("leaf", "mask", "bits")))
     differing = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
-    meeting = upper.join(other, ["turn", "head"]).where((F.col("leaf") < F.col("leaf2")) & (differing <= radius)).select("fps", "fps2")
+    meeting = upper.join(other, ["turn", "head"]).where((F.col("leaf") < F.col("leaf2")) & (differing <= radius)).select("leaf", "leaf2")
+    blobs = leaves.select("leaf", "fps")
+    meeting = meeting.join(blobs, "leaf").join(blobs.withColumnsRenamed({"leaf": "leaf2", "fps": "fps2"}), "leaf2").select("fps", "fps2")
 
     def across(batches):
         for batch in batches:
@@ -239,9 +259,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str
     found = durable.keep(fingerprints(docs.select(id_col, text_col), text_col, size=size))
     distinct = durable.keep(found.groupBy("fp").agg(F.min(id_col).alias("first")))
     grouped = components(links(distinct, radius))
-    named = distinct.join(grouped.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return found.join(named.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    # One row for each fingerprint that has links: a component may have many, so their least id is taken by a partial
+    # aggregate and sent back by a join whose large side can be split.
+    linked = grouped.join(distinct.withColumnRenamed("fp", "id"), "id").select(F.col("id").alias("fp"), "component", "first")
+    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = linked.join(least, "component").select("fp", "component_id")
+    out = found.join(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "fp")
+    return out.select(id_col, "fp", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

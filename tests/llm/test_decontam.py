@@ -40,6 +40,27 @@ def brute(docs, items, n=10):
     return sorted(out)
 
 
+@pytest.mark.parametrize("block_bytes", [10_000, 60])
+def test_blocks_make_no_difference(spark, block_bytes):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, "Before; " + ", ".join(words) + "! after", "x", 5), (2, "short - one. three", "y", 6)], "doc_id long, text string, hit_items string, n_words long")
+    bench = spark.createDataFrame([(k, " ".join(words[a:b])) for k, (a, b) in enumerate([(0, 12), (5, 20), (12, 24), (24, 36)])] + [(9, "one"), (10, "three")], "item_id long, text string")
+    cut = {r.doc_id: r for r in decontam.decontaminate(docs, bench, remove="spans", block_bytes=block_bytes).collect()}
+    assert cut[1].text == "Before; , w36, w37, w38, w39! after" and cut[2].text == "short - "
+    assert (cut[1].hit_items, cut[1].n_words) == ("x", 5)
+    assert decontam.decontaminate(docs, bench, block_bytes=block_bytes).count() == 0
+    with pytest.raises(ValueError):
+        decontam.decontaminate(docs, bench, most_bytes=10)
+
+
+def test_very_long_text(spark):
+    words = " ".join(f"w{k}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, words)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(199_980, 200_000)))], "item_id long, text string")
+    got = decontam.contamination(docs, bench).select("n_words", "hit_spans").first()
+    assert got.n_words == 200_000 and [(s.first, s.last) for s in got.hit_spans] == [(199_980, 200_000)]
+
+
 @pytest.mark.parametrize("block_bytes", [10_000, 100])
 def test_against_brute_force(spark, block_bytes):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("n_chars", F.lit(1)).repartition(3)

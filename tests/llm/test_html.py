@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -74,3 +75,27 @@ def test_unclosed_self_closed_and_custom_elements(model, odd):
     long = "words of the article that go on, and on, for a while. " * 4
     text = model.texts([f"<body><article><p>one {long} {odd} two</p><p>three {long}</p></article></body>"])[0]
     assert text.startswith("one words") and "two" in text and "three words" in text
+
+
+@pytest.mark.parametrize("depth", [100, 260, 3000])
+def test_menus_are_told_at_any_depth(model, depth):
+    long = "words of the article that go on, and on, for a while. " * 4
+    menu = "<nav class=menu><ul>" + "".join(f"<li><a href=/{k}>go there</a></li>" for k in range(5)) + "</ul></nav>"
+    text = model.texts([f"<body><article><p>{long}</p>" + "<div>" * depth + menu + "</div>" * depth + f"<p>{long}</p></article></body>"])[0]
+    assert "go there" not in text and text.count("words of the article") == 8
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p>x</b>", "<!--", "<script", "<i><p>"])
+def test_time_goes_with_length(piece):
+    def took(n):
+        began = time.perf_counter()
+        htmltree.Page(piece * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(80_000) for _ in range(2)) < 6 * max(min(took(20_000) for _ in range(3)), 0.02)
+
+
+def test_text_after_the_last_tag(model):
+    assert htmltree.Page("<p>one</p> a < b and <c <!-- d").blocks[-1][0][1].strip() == "a < b and <c"
+    assert not any(text.strip() for block in htmltree.Page("<script>var x = 1; y < z").blocks for _, text in block)

@@ -24,7 +24,13 @@ def test_raking_meets_every_marginal():
     targets = [(x := r.random(n)) / x.sum() for n in (4, 3, 2)]
     weights = mixing.rake(cells, codes, targets, 200)
     for code, target in zip(codes, targets, strict=True):
-        assert np.allclose(np.bincount(code, weights, len(target)), target, atol=1e-6)
+        assert np.allclose(np.bincount(code, weights, len(target)), target, atol=1e-9)
+
+
+def test_targets_that_cannot_be_met_are_told():
+    cells, codes = np.array([3, 5]), [np.array([0, 1]), np.array([0, 1])]
+    with pytest.warns(UserWarning, match="off its target by 0.4"):
+        mixing.rake(cells, codes, [np.array([0.7, 0.3]), np.array([0.3, 0.7])])
 
 
 @pytest.mark.parametrize("share", [0.1, 0.6, 1.0])

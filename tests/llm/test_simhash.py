@@ -52,9 +52,12 @@ def near(r, center, most):
     return center
 
 
-@pytest.mark.parametrize("leaf, radius", [(2048, 4), (8, 4), (16, 2)])
+@pytest.mark.parametrize("leaf, radius", [(2048, 4), (8, 4), (16, 2), (0.001, 4)])
 def test_index_is_exact(spark, monkeypatch, leaf, radius):
-    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "LEAF", max(leaf, 2))
+    if leaf < 1:  # two blocks in front
+        orders = simhash.fronts(radius, 2 << 20)
+        monkeypatch.setattr(simhash, "fronts", lambda radius, count: orders)
     r = random.Random(leaf)
     centers = [r.getrandbits(64) for _ in range(10)]
     fps = {k: near(r, r.choice(centers), 7) for k in range(250)} | {k: r.getrandbits(64) for k in range(250, 300)}
@@ -68,6 +71,24 @@ def test_index_is_exact(spark, monkeypatch, leaf, radius):
     assert len(set(label.values())) == len(label)
 
 
+def test_pairs_of_leaves_grow_with_the_leaves(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    r = np.random.default_rng(1)
+    per_value = []
+    for count in (1 << 12, 1 << 14, 1 << 16, 1 << 18):
+        orders = simhash.fronts(4, count)
+        fps = np.unique(r.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2))
+        pairs = 0
+        for order in orders[:2]:
+            _, sizes = np.unique(simhash.ordered(fps, order) >> np.uint64(64 - order[-1][1]), return_counts=True)
+            leaves = -(-sizes // 4)
+            pairs += int((leaves * (leaves - 1) // 2).sum())
+        per_value.append(pairs / count)
+    assert max(per_value) < 2
+    assert len(simhash.fronts(4, 10)) == 5 and len(simhash.fronts(4, 4 << 20)) == 15
+    assert all(sorted(order[:-1])[0][0] == 0 and sum(w for _, w in order[:-1]) == 64 for order in simhash.fronts(4, 4 << 20))
+
+
 def test_gray_order():
     rank = simhash.gray_rank(np.array([0, 1, 3, 2, 6], np.uint64)).tolist()
     assert rank == [0, 1, 2, 3, 4]
