@@ -2,9 +2,11 @@ import html
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
+from pages_by_hand import PAGES
 
 from fieldloom.llm import htmltree
 
@@ -99,3 +101,12 @@ def test_time_goes_with_length(piece):
 def test_text_after_the_last_tag(model):
     assert htmltree.Page("<p>one</p> a < b and <c <!-- d").blocks[-1][0][1].strip() == "a < b and <c"
     assert not any(text.strip() for block in htmltree.Page("<script>var x = 1; y < z").blocks for _, text in block)
+
+
+def test_pages_labelled_by_hand(model):
+    """F1 of words over layouts that the generator of training pages doesn't make."""
+    shared = found = gold = 0
+    for source, blocks in PAGES:
+        got, want = Counter(model.texts([source])[0].split()), Counter(" ".join(blocks).split())
+        shared, found, gold = shared + (got & want).total(), found + got.total(), gold + want.total()
+    assert 2 * shared / (found + gold) >= 0.9

@@ -46,6 +46,14 @@ def test_nothing_to_learn_from(spark):
         assert {(r.lang_pred, r.score) for r in langid.identify(df, model).collect()} == {("und", 0.0)}
 
 
+def test_a_language_of_long_texts_alone_is_learnt(spark):
+    long = [(k, " ".join(f"zyq{j % 7}wu" for j in range(k, k + 400)), "zz") for k in range(12)]
+    df = corpus.frame(spark, rows()).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(long, "doc_id long, text string, lang string"))
+    model = langid.train(df, fit_chars=1000)
+    assert "zz" in model.languages and model.predict([long[0][1]])[0] == ["zz"]
+    assert langid.train(df, grams=50).kernel.tables[4][1] <= 50
+
+
 def test_letters():
     assert langid.letters("Ab1c, É") == " ab c é ".encode() and langid.letters(" 1") is None
     with pytest.raises(AttributeError):
