@@ -2,9 +2,11 @@
 
 Reading: skip an ID3v2 tag, find frame headers and resynchronise after
 damage (a header counts if another compatible one or the end follows it), parse
-the tags (ID3v2 text frames, ID3v1) and the Xing or Info table of variable
-bitrate, verify the CRC-16 of protected frames, and give exact durations as
-samples and rate, and the byte offset of every frame for seeking.
+the tags (text frames of ID3v2.3 and 2.4, ID3v1) and the Xing, Info or VBRI table
+of variable bitrate, verify the CRC-16 of protected frames of layers I and III, and
+give exact durations as samples and rate, and the byte offset of every frame for
+seeking. Frames of layer II are read, but their CRC, which covers a varying number
+of bits, isn't verified: ``checked`` counts those that were.
 
 Writing: a payload goes into MPEG-1 layer III frames (48 kHz, two channels,
 protected) whose side information declares no audio bits, so that a player
@@ -14,7 +16,9 @@ variable bitrate; its first frame is a Xing table, an ID3v2 tag leads it.
 
 Defined results: null content reads as null columns; content without any
 frame has 0 frames and no duration; bytes that belong to nothing are counted
-in ``skipped_bytes``; equal payloads give equal streams.
+in ``skipped_bytes``; equal payloads give equal streams; repeated rows give
+repeated results and an empty table an empty one; time and memory go in proportion
+to the longest stream; columns of the input stay, but for those named like results.
 """
 
 from __future__ import annotations
@@ -136,11 +140,19 @@ def _tags(raw: bytes) -> tuple[dict[str, str], int, int]:
     tags, start, end = {}, 0, len(raw)
     if raw[:3] == b"ID3" and len(raw) >= 10 and not any(b & 0x80 for b in raw[6:10]):
         size = raw[6] << 21 | raw[7] << 14 | raw[8] << 7 | raw[9]
-        start, at = min(end, 10 + size + 10 * bool(raw[5] & 0x10)), 10
-        while at + 10 <= min(end, 10 + size) and raw[at : at + 4].strip(b"\0"):
-            name, part = raw[at : at + 4].decode("latin-1"), raw[at + 4 : at + 8]
-            length = part[0] << 21 | part[1] << 14 | part[2] << 7 | part[3] if raw[3] >= 4 else int.from_bytes(part, "big")
-            body = raw[at + 10 : at + 10 + length]
+        start, at = min(end, 10 + size + 10 * bool(raw[5] & 0x10)), 0
+        spread = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+        held = raw[10 : min(end, 10 + size)]
+        if raw[5] & 0x80 and raw[3] < 4:  # a zero stands after each FF
+            held = held.replace(b"\xff\0", b"\xff")
+        if raw[5] & 0x40 and len(held) >= 4:  # extended header
+            at = spread(held) if raw[3] >= 4 else 4 + int.from_bytes(held[:4], "big")
+        while at + 10 <= len(held) and held[at : at + 4].strip(b"\0"):
+            name, part = held[at : at + 4].decode("latin-1"), held[at + 4 : at + 8]
+            length = spread(part) if raw[3] >= 4 else int.from_bytes(part, "big")
+            body = held[at + 10 : at + 10 + length]
+            if raw[3] >= 4 and held[at + 9] & 2:  # this frame alone is written so
+                body = body.replace(b"\xff\0", b"\xff")
             if name[0] == "T" and body:
                 kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
                 parts = body[1:].decode(kind, "replace").rstrip("\0").split("\0")
@@ -172,9 +184,10 @@ def read_stream(raw: bytes) -> dict:
             synced, skipped, at = False, skipped + found - at, found
             continue
         lead = 4 + 2 * head.protected + head.side
-        if head.protected and head.layer == 3:
+        if head.protected and head.layer != 2:
             checked += 1
-            bad += crc16_of(raw[at + 2 : at + 4] + raw[at + 6 : at + lead]) != int.from_bytes(raw[at + 4 : at + 6], "big")
+            covered = lead if head.layer == 3 else 6 + allocation_bits(raw[at + 3]) // 8
+            bad += crc16_of(raw[at + 2 : at + 4] + raw[at + 6 : at + covered]) != int.from_bytes(raw[at + 4 : at + 6], "big")
         body = raw[at + lead : at + head.size]
         if first is None and head.layer == 3 and body[:4] in (b"Xing", b"Info") and len(body) >= 8:
             flags, values, place = int.from_bytes(body[4:8], "big"), {}, 8
@@ -184,6 +197,10 @@ def read_stream(raw: bytes) -> dict:
                     values[name] = list(part) if name == "toc" else int.from_bytes(part, "big")
                     place += width
             table = values
+        elif first is None and head.layer == 3 and head.size >= 62 and raw[at + 36 : at + 40] == b"VBRI":
+            entries, scale, width = struct.unpack(">HHH", raw[at + 54 : at + 60])
+            places = range(at + 62, min(at + 62 + entries * width, at + head.size - width + 1), width) if width else ()
+            table = {"bytes": int.from_bytes(raw[at + 46 : at + 50], "big"), "frames": int.from_bytes(raw[at + 50 : at + 54], "big"), "toc": [min(scale * int.from_bytes(raw[k : k + width], "big"), 2**31 - 1) for k in places]}
         else:
             offsets.append(at)
             samples += head.samples
@@ -210,6 +227,12 @@ def crc16_of(data: bytes) -> int:
     return _SEEN[data]
 
 
+def allocation_bits(mode: int) -> int:
+    """Bits of allocation that a layer I frame protects, by the last byte of its header."""
+    kind, bound = mode >> 6, 4 * ((mode >> 4 & 3) + 1)
+    return 4 * {0: 64, 1: 32 + bound, 2: 64, 3: 32}[kind]
+
+
 def payload_of(found: dict) -> bytes:
     """The bytes that :func:`write_stream` was given."""
     units = {size: n for n, size in _SIZE.items()}

@@ -55,6 +55,38 @@ def test_headers():
         audio.write_stream(b"x")
 
 
+def test_table_of_the_other_kind():
+    head = b"\xff\xfb\x90\x64"
+    table = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (9999).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"\0\2\0\3\0\2\0\1" + b"\1\0\2\0"
+    frame = lambda body=b"": (head + body).ljust(417, b"\0")
+    found = audio.read_stream(frame(bytes(32) + table) + frame() * 3)
+    assert (found["vbr_frames"], found["vbr_bytes"], found["toc"], found["frames"]) == (3, 9999, [768, 1536], 3)
+
+
+@pytest.mark.parametrize("mode, size", [(0x00, 32), (0xC0, 16), (0x40, 18), (0x70, 24)])
+def test_checksums_of_layer_one(mode, size):
+    lead = bytes([0xFF, 0xFE, 0x94, mode])
+    head = audio.Header.of(lead)
+    assert head.layer == 1 and head.protected
+    body = bytes(k % 251 for k in range(size))
+    good = (lead + audio.crc16(lead[2:] + body).to_bytes(2, "big") + body).ljust(head.size, b"\0")
+    bad = bytearray(good)
+    bad[5 + size] ^= 1
+    found = audio.read_stream(good + bytes(bad) + good)
+    assert (found["frames"], found["checked"], found["bad_checksums"]) == (3, 3, 1)
+
+
+def test_extended_and_unsynchronised_tags():
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    text = b"\0a\xff\0b"
+    frame = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + text
+    old = (6).to_bytes(4, "big") + bytes(6) + frame
+    assert audio.read_stream(b"ID3\3\0\xc0" + size(len(old)) + old)["tags"] == {"TIT2": "a\u00ffb"}
+    frame = b"TIT2" + size(5) + b"\0\2" + text
+    new = size(6) + b"\1\0" + frame
+    assert audio.read_stream(b"ID3\4\0\x40" + size(len(new)) + new)["tags"] == {"TIT2": "a\u00ffb"}
+
+
 def test_nulls_junk_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, bytearray(b""), "b"), (3, bytearray(b"\xff\xfb\x90\x64 no frames here"), "c")], "id long, media binary, audio string")
     rows = {r.id: r.audio for r in audio.parse(df).collect()}
