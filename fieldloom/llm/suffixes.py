@@ -125,48 +125,56 @@ def segments_met(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes (at least): ranks of doubled length until that is reached."""
+    """Suffixes in the order of their first ``depth`` bytes (at least): those that still agree are sorted again by ranks of doubled length."""
     n = len(text)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = text
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    reach = 8
-    while True:
-        order = np.argsort(key)
-        if reach >= depth:
-            return order
-        ordered = key[order]
-        rank = np.empty(n + reach, np.uint64)
-        rank[n:] = 0
-        rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])).astype(np.uint64)
-        if int(rank[order[-1]]) == n:
-            return order
-        key = (rank[:n] << np.uint64(32)) | rank[reach : reach + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    # A rank is the place where its group begins, counted from one; zero lies behind the end.
+    rank = np.zeros(n + max(depth, 8), np.int64)
+    rank[order] = (np.flatnonzero(new) + 1)[np.cumsum(new) - 1]
+    places, reach = np.flatnonzero(~(new & np.append(new[1:], True))), 8
+    while reach < depth and len(places):
+        own = order[places]
+        pair = (rank[own] << 32) | rank[own + reach]
+        at = np.argsort(pair)
+        own, pair = own[at], pair[at]
+        order[places] = own
+        new = np.append(True, pair[1:] != pair[:-1])
+        rank[own] = (places[new] + 1)[np.cumsum(new) - 1]
+        places = places[~(new & np.append(new[1:], True))]
         reach *= 2
+    return order
 
 
 def short_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     """Whether each place has a common prefix of under ``length`` with the place before it."""
     n = len(bwt)
+    kind = np.int32 if n * (length + 1) < 1 << 31 else np.int64  # intervals are numbered, at most one for each place and round
     by_byte = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)  # where the suffix one byte longer stands
-    step[by_byte] = np.arange(n)
+    step = np.empty(n, kind)  # where the suffix one byte longer stands
+    step[by_byte] = np.arange(n, dtype=kind)
     begins = np.zeros(n + 1, bool)
     begins[0] = begins[n] = True
     begins[1:n] = bwt[by_byte][1:] != bwt[by_byte][:-1]
+    step[bwt == _DIVIDE] = -1
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    tag, serial = np.full(n + 2, -1, np.int64), 0  # shifted by one, so that no place lacks a neighbour
-    low, high = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
+    tag, serial = np.full(n + 2, -1, kind), 0  # shifted by one, so that no place lacks a neighbour
+    low, high = np.zeros(1, kind), np.full(1, n - 1, kind)
     for _ in range(length):
         size = high - low + 1
-        owner = np.repeat(np.arange(len(size)), size)
-        item = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        inside = bwt[item] != _DIVIDE
-        place, owner = step[item[inside]], owner[inside] + serial
+        ends = np.cumsum(size, dtype=np.int64)
+        place = step[np.arange(ends[-1], dtype=kind) + np.repeat((low - (ends - size)).astype(kind), size)]
+        owner = np.repeat(np.arange(serial, serial + len(size), dtype=kind), size)
         serial += len(size)
+        inside = place >= 0
+        place, owner = place[inside], owner[inside]
         tag[place + 1] = owner
         first = (tag[place] != owner) | begins[place]
         last = (tag[place + 2] != owner) | begins[place + 1]
