@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, htmltree, langid, linededup, mixing, phrases, secrets, simhash, suffixes
+from . import audio, decontam, htmltree, langid, linededup, mixing, phrases, resample, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_phrases": phrases.op8_phrases,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op12_resample": resample.op12_resample,
 }
 ORACLE = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op8_phrases": phrases.ORACLE_SQL,
     "op9_suffixes": suffixes.ORACLE_SQL,
     "op10_decontaminate": decontam.ORACLE_SQL,
+    "op12_resample": resample.ORACLE_SQL,
 }
