@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, htmltree, langid, linededup, mixing, phrases, resample, secrets, simhash, suffixes
+from . import audio, decontam, htmltree, langid, linededup, mixing, periods, phrases, resample, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_phrases": phrases.op8_phrases,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_periods": periods.op11_periods,
     "op12_resample": resample.op12_resample,
 }
 ORACLE = {
