@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, htmltree, langid, linededup, mixing, periods, phrases, resample, secrets, simhash, suffixes
+from . import audio, chat, decontam, htmltree, langid, linededup, mixing, periods, phrases, resample, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontam.op10_decontaminate,
     "op11_periods": periods.op11_periods,
     "op12_resample": resample.op12_resample,
+    "op13_chat": chat.op13_chat,
 }
 ORACLE = {
     "op2_mixing": mixing.ORACLE_SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op9_suffixes": suffixes.ORACLE_SQL,
     "op10_decontaminate": decontam.ORACLE_SQL,
     "op12_resample": resample.ORACLE_SQL,
+    "op13_chat": chat.ORACLE_SQL,
 }
