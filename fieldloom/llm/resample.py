@@ -299,17 +299,22 @@ def merged(pages: DataFrame, offsets: dict[int, int], draws: int, parts: int) ->
     return dealt.mapInArrow(work, ", ".join(f"{c} bigint" for c in (*_FIELDS, "rank")))
 
 
-def _range_of(score: Column, cuts: list[int]) -> Column:
-    """How many of the descending cuts lie above a score: a binary search in an expression."""
-    up = sorted(cuts)
+def placed(rows: DataFrame, cuts: list[int], inner: dict[int, list[int]]) -> DataFrame:
+    """``rows`` with ``part``, from the highest scores on: ranges between the ascending ``cuts``, those in ``inner`` cut by ascending ids too."""
+    up = np.array(cuts, np.int64)
+    width = np.array([1 + len(inner.get(k, ())) for k in range(len(up) + 1)])
+    base = np.cumsum(width) - width
 
-    def part(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(len(up) - low)
-        middle = (low + high) // 2
-        return F.when(score >= up[middle], part(middle + 1, high)).otherwise(part(low, middle))
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        score, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("score", "id"))
+        at = len(up) - np.searchsorted(up, score, side="right")
+        part = base[at]
+        for k, by_id in inner.items():
+            here = at == k
+            part[here] += np.searchsorted(np.array(by_id, np.int64), ids[here], side="right")
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
 
-    return part(0, len(up))
+    return arrays.map_batches(rows, work, rows.withColumn("part", F.lit(0)).schema)
 
 
 def ranked(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, range_rows: int = RANGE_ROWS, **options) -> DataFrame:
@@ -329,30 +334,26 @@ def ranked(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_W
     accuracy = min(max(10_000, 16 * steps * total // draws), 2**31 - 1)
     found = rows.agg(F.percentile_approx("score", [1 - s for s in shares], accuracy)).first()[0] if shares else []
     # A score that several cuts share has a range of its own.
-    cuts = sorted({c for c in found} | {c + 1 for c in found if found.count(c) > 1}, reverse=True)
-    dealt = rows.withColumn("range", _range_of(F.col("score"), cuts))
-    sizes = {r["range"]: r for r in dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.min("id").alias("first"), F.max("id").alias("last")).collect()}
+    cuts = sorted({c for c in found} | {c + 1 for c in found if found.count(c) > 1})
+    dealt = placed(rows, cuts, {})
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.min("id").alias("first"), F.max("id").alias("last")).collect()
     aim, inner = max(draws // steps, 1), {}
-    for at, r in sizes.items():
+    for r in sizes:
         if r.n > 4 * aim and r.low == r.high and r.first < r.last:
             n = min(r.n // aim, _SUBS)
-            by_id = dealt.where(F.col("range") == at).agg(F.percentile_approx("id", [k / n for k in range(1, n)], 4 * int(n) + 10_000)).first()[0]
-            inner[at] = sorted(set(by_id))
-    sub = F.lit(0)
-    for at, by_id in inner.items():
-        # _range_of counts from the highest: ids go the other way.
-        sub = F.when(F.col("range") == at, len(by_id) - _range_of(F.col("id"), by_id)).otherwise(sub)
-    dealt = dealt.withColumn("sub", sub)
-    counts = sorted((r["range"], r["sub"], r["count"]) for r in dealt.groupBy("range", "sub").count().collect()) if inner else sorted((k, 0, r.n) for k, r in sizes.items())
+            by_id = dealt.where(F.col("part") == r.part).agg(F.percentile_approx("id", [k / n for k in range(1, n)], 4 * int(n) + 10_000)).first()[0]
+            inner[r.part] = sorted(set(by_id))
+    if inner:
+        dealt = placed(rows, cuts, inner)
+        sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
     before, offsets = 0, {}
-    for place, (_, _, n) in enumerate(counts):
+    for r in sorted(sizes, key=lambda r: r.part):
         if before < draws:
-            offsets[place] = before
-        before += n
-    keys = [at * _SUBS + k for at, k, _ in counts]
-    dealt = dealt.withColumn("part", (F.lit(len(keys) - 1) - _range_of(F.col("range") * _SUBS + F.col("sub"), keys[1:])).cast("int"))
-    inside = merged(runs(dealt.where(F.col("part") < len(offsets)), **options), offsets, draws, max(len(offsets), 1))
-    beyond = dealt.where(F.col("part") >= len(offsets)).select(*_FIELDS, undrawn)
+            offsets[r.part] = before
+        before += r.n
+    last = max(offsets)
+    inside = merged(runs(dealt.where(F.col("part") <= last), **options), offsets, draws, len(offsets))
+    beyond = dealt.where(F.col("part") > last).select(*_FIELDS, undrawn)
     return inside.unionByName(beyond).unionByName(scored.where(~F.coalesce(eligible, F.lit(False))).select("*", undrawn))
 
 
