@@ -47,3 +47,33 @@ def per_period(cumulative: DataFrame, value: str = "cumulative_crush_tonnes", in
 def normalized_report(table: DataFrame) -> DataFrame:
     """A reconstructed table as per-period tonnes in the order of the report's columns."""
     return per_period(report_rows(table)).select("season", "period_end_date", "region", "crush_tonnes", "variation_percent")
+
+
+def normalized_reports(tables: DataFrame) -> DataFrame:
+    """Reconstructed tables ``(doc, page, row_idx, cells)`` of many documents as per-period tonnes, in one lazy plan.
+
+    The contract is part of the plan: a document with several tables or without data rows, a
+    season that doesn't begin on 16 April and a running total that falls raise as rows are
+    made, and the error names the document and the row.
+    """
+    fail = lambda *parts: F.raise_error(F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)))
+    docs = tables.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page", "row_idx", "cells"))).alias("rows"), F.min("page").alias("first"), F.max("page").alias("last"))
+    one = F.when(F.col("first") != F.col("last"), fail("Expected exactly one historical crushing table: ", F.col("doc"))).when(F.size("rows") < 4, fail("The table does not contain the expected header and data rows: ", F.col("doc")))
+    docs = docs.select("doc", F.coalesce(one.cast("array<struct<page:int,row_idx:int,cells:array<string>>>"), F.col("rows")).alias("rows"))
+    docs = docs.select("doc", "rows", text.header_seasons(F.get("rows", F.lit(2))["cells"]).alias("seasons"))
+    docs = docs.select("doc", "seasons", F.explode(F.slice("rows", 4, F.size("rows"))).alias("row"))
+    cell = lambda k: F.get("row.cells", F.lit(k))
+    regions = F.array(*(F.struct(F.lit(name).alias("region"), cell(k).alias("cell")) for name, k in REGION_CELLS))
+    each = docs.where(cell(0).rlike(text.PERIOD)).select("doc", "seasons", cell(0).alias("period"), F.explode(regions).alias("r")).where("r.cell is not null")
+    each = each.select("doc", "seasons", "period", "r.region", text.region_cell(F.col("r.cell")).alias("value"))
+    two = F.array(*(F.struct(F.col(f"seasons.{s}").alias("season"), F.col(f"value.{s}").alias("total")) for s in ("previous", "current")))
+    long = each.select("doc", "period", "region", F.col("value.variation_percent").alias("variation_percent"), F.explode(two).alias("s")).select("doc", "s.*", "period", "region", "variation_percent")
+    long = long.withColumn("period_end_date", calendar.period_end_date(F.col("season"), F.col("period")))
+    window = Window.partitionBy("doc", "season", "region").orderBy("period_end_date")
+    before = F.lag("total").over(window)
+    long = long.withColumn("before", before)
+    where = (F.lit(" in "), F.col("doc"), F.lit(", "), F.col("season"), F.lit(", "), F.col("region"), F.lit(", "), F.col("period_end_date"))
+    late = F.col("before").isNull() & (F.date_format("period_end_date", "MM-dd") != FIRST_PERIOD)
+    tonnes = F.when(late, fail("The season does not begin on 16 April", *where).cast("bigint")).when(F.col("total") < F.col("before"), fail("Running totals fall", *where).cast("bigint"))
+    tonnes = tonnes.otherwise(F.col("total") - F.coalesce("before", F.lit(0)))
+    return long.select("doc", "season", "period_end_date", "region", tonnes.alias("crush_tonnes"), "variation_percent")

@@ -84,3 +84,11 @@ def tables(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
 def page_with_text(pages: DataFrame, wanted: str) -> DataFrame:
     """``(doc, page)`` of the first page of each document that holds the text in any case."""
     return pages.where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(wanted.lower()))).groupBy("doc").agg(F.min("page").alias("page"))
+
+
+def titled_tables(words: DataFrame, title: str, tolerance: float = 4.0) -> DataFrame:
+    """Tables of the first page of each document whose text holds the title, from ``words`` with ``line``."""
+    spoken = F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "text"))), lambda w: w["text"])
+    texts = words.groupBy(*PAGE, "line").agg(F.array_join(spoken, " ").alias("text"))
+    pages = page_with_text(texts, title)
+    return tables(words.join(pages, list(PAGE), "left_semi").drop("line"), tolerance)

@@ -371,4 +371,4 @@ def translated_headers(spark, sf_dir):
     return tables.translate(raw)
 
 
-from . import violations  # noqa: E402, F401 - registers its queries
+from . import intake, violations  # noqa: E402, F401 - register their queries

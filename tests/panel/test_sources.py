@@ -138,7 +138,7 @@ def test_retries():
 def test_documents(spark, tmp_path):
     def extractor(content):
         for line in content.split(b"\n")[1:]:
-            yield (line.decode() or None), [{"text": w, "x0": k, "x1": k + 1, "top": 5} for k, w in enumerate(line.decode().split())]
+            yield [(w, 9.0 * k, 9.0 * k + 1, 5.0) for k, w in enumerate(line.decode().split())]
 
     (tmp_path / "a.pdf").write_bytes(b"%PDF\nOne two\n\nthree")
     (tmp_path / "b.pdf").write_bytes(b"<html>")
