@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar, formats, text
 from ..operators import contracts, features, history, ranking, reports, rollup, tables, words
-from ..sources import files, sinks, weather
-from .panel import DAILY_SQL, HISTORY_SQL, SHIFT, daily, moved, scratch, table
+from ..sources import files, shared, sinks, weather
+from .panel import DAILY_SQL, HISTORY_SQL, SHIFT, daily, moved, table
 from .panel import history as harvest
 
 QUERIES: dict = {}
@@ -273,7 +273,8 @@ def dup_mask(spark, sf_dir):
 @query("SELECT s AS state, harvest_year, production_thousand_tonnes FROM (SELECT o_orderstatus AS s, (year(o_orderdate) + 8)::VARCHAR AS harvest_year, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS production_thousand_tonnes FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2)")
 def unpivot_production(spark, sf_dir):
     """Yearly totals of each status as a wide sheet, and back to rows."""
-    wide = _orders(spark, sf_dir).groupBy(F.col("s").alias("Estado/Safra")).pivot("y", list(range(2003, 2010))).agg(F.sum(F.col("p").cast("decimal(12,2)")).cast("double"))
+    # Spark takes the years from the table.
+    wide = _orders(spark, sf_dir).groupBy(F.col("s").alias("Estado/Safra")).pivot("y").agg(F.sum(F.col("p").cast("decimal(12,2)")).cast("double"))
     return tables.state_production(wide, ["F", "O"])
 
 
@@ -309,9 +310,13 @@ def null_profile(spark, sf_dir):
     return contracts.missing_counts(both)
 
 
-@query("SELECT count(*) AS rows, 3 AS columns, count(*) - count(DISTINCT (o_orderstatus, o_orderpriority, d)) AS duplicate_rows, min(d) AS first_date, max(d) AS last_date FROM (SELECT o_orderstatus, o_orderpriority, o_orderdate::DATE AS d FROM orders)")
+@query(f"""SELECT count(*) AS rows, 3 AS columns, count(*) - count(DISTINCT (s, q, d)) AS duplicate_rows, min(d) AS first_date, max(d) AS last_date,
+  count(*) FILTER (s IS NULL) AS missing_s, count(*) FILTER (q IS NULL) AS missing_q, count(*) FILTER (d IS NULL) AS missing_d
+FROM (SELECT nullif(s, 'P') AS s, q, CASE WHEN month(d) = 5 THEN NULL ELSE d END AS d FROM ({_ORDER}))""")
 def summary_profile(spark, sf_dir):
-    return sinks.summary(_orders(spark, sf_dir).select("s", "q", "d"), "d").drop("missing")
+    """The summary of orders, whose status P and days in May are missing."""
+    orders = _orders(spark, sf_dir).select(F.nullif("s", F.lit("P")).alias("s"), "q", F.when(F.month("d") != 5, F.col("d")).alias("d"))
+    return sinks.summary(orders, "d").select("*", *(F.col("missing")[c].alias(f"missing_{c}") for c in ("s", "q", "d"))).drop("missing")
 
 
 @query("SELECT n_name AS municipality, 'SP' AS state, n_nationkey::BIGINT AS ibge_code, n_nationkey * 1.5::DOUBLE AS latitude, n_nationkey * -2.5::DOUBLE AS longitude FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
@@ -347,10 +352,9 @@ def table_rows_from_words(spark, sf_dir):
 def year_union_scan(spark, sf_dir):
     """All orders written as one file for each year, and read again as one table."""
     every = _orders(spark, sf_dir).select("y", "o_orderkey", F.col("p").cast("double").alias("price"), F.col("d").alias("day"))
-    folder, years = scratch(spark), list(range(2003, 2010))
-    for y in years:
-        every.where(F.col("y") == y).drop("y").write.option("header", True).csv(f"{folder}/{y}.csv")
-    return files.read_years(spark, folder, years, "o_orderkey bigint, price double, day date")
+    with shared.scratch(spark) as folder:
+        years = [int(y) for y in sinks.save_by(every, folder, "y")]
+        return shared.keep(files.read_years(spark, folder, years, "o_orderkey bigint, price double, day date"))
 
 
 @query("SELECT nation.*, s AS number_text FROM nation, (SELECT 1) LEFT JOIN (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 100 BETWEEN 10 AND 20 THEN n_nationkey || 'th' WHEN n_nationkey % 10 = 1 THEN n_nationkey || 'st' WHEN n_nationkey % 10 = 2 THEN n_nationkey || 'nd' WHEN n_nationkey % 10 = 3 THEN n_nationkey || 'rd' ELSE n_nationkey || 'th' END AS s FROM nation) ON k = n_nationkey")

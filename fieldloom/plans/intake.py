@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from ..operators import reports, words
-from ..sources import pages
+from ..operators import history, reports, tables, words
+from ..sources import files, pages, shared, sinks, versions, weather, workbook
 from .catalog import query
+from .panel import DAILY_SQL, HISTORY_SQL, SHIFT, daily, moved, table
+from .panel import history as harvest
 from .reportpages import CELLS, HEADS, SIZE, TITLE, TOTALS_SQL, report_documents
+from .sheets import workbooks
 
 _DOTTED = "replace(format('{{:,}}', {}), ',', '.')"
 _CELL_X = [f"CASE place {' '.join(f'WHEN {k} THEN {c[i]}' for k, c in enumerate(CELLS))} END" for i in range(3)]
@@ -45,3 +51,115 @@ def report_pdf_history(spark, sf_dir):
     """Documents to words, words to tables, tables to tonnes by period: one plan."""
     found = pages.words_of(pages.characters(report_documents(spark, sf_dir)))
     return reports.normalized_reports(words.titled_tables(found, TITLE))
+
+
+@query(f"SELECT o_orderkey::VARCHAR AS order_key, (o_orderdate + INTERVAL {SHIFT} YEAR)::DATE AS day, o_totalprice::DOUBLE AS price, o_orderpriority AS priority, year(o_orderdate) + {SHIFT} || '.xlsx' AS file FROM orders")
+def workbook_rows(spark, sf_dir):
+    """All orders as a workbook for each year, below three other rows, read by ranges of rows and without the column of notes."""
+    day = moved("o_orderdate")
+    orders = table(spark, sf_dir, "orders").select(F.year(day).alias("year"), F.col("o_orderkey").alias("ORDER & KEY"), day.alias("DAY"), F.lit("not wanted").alias("NOTE"), F.col("o_totalprice").cast("double").alias("PRICE"), F.col("o_orderpriority").alias("PRIORITY"))
+    with shared.scratch(spark) as folder:
+        shared.write_files(workbooks(orders, "year", ["ORDER & KEY"], "orders", preamble=3, others={"cover": [["nothing"]]}), folder)
+        read = workbook.read_sheet(spark, folder, "orders", header_row=3, columns=["ORDER & KEY", "DAY", "PRICE", "PRIORITY"], rows_per_partition=1000)
+        typed = read.select(F.col("ORDER & KEY").alias("order_key"), F.col("DAY").cast("date").alias("day"), F.col("PRICE").cast("double").alias("price"), F.col("PRIORITY").alias("priority"), F.element_at(F.split("_file", "/"), -1).alias("file"))
+        return shared.keep(typed)
+
+
+@query(f"SELECT season, period_end_date, region, crush_tonnes::DOUBLE AS crush_tonnes FROM ({HISTORY_SQL}) WHERE region <> 'centre_south'")
+def workbook_crush(spark, sf_dir):
+    """The harvest history as a workbook for each season, sheet TB_02 with its header in the ninth row, to the checked period table."""
+    region = F.when(F.col("region") == "sao_paulo", " SÃO PAULO").otherwise("DEMAIS ESTADOS ")
+    rows = harvest(spark, sf_dir).where("region <> 'centre_south'").select("season", F.concat(F.lit(" "), F.col("season")).alias("SAFRA"), F.col("period_end_date").alias("QUINZENA"), region.alias("REGIÃO"), F.col("crush_tonnes").alias("MOAGEM"))
+    with shared.scratch(spark) as folder:
+        shared.write_files(workbooks(rows, "season", ["QUINZENA", "REGIÃO"], "TB_02", preamble=8), folder)
+        raw = workbook.read_sheet(spark, folder, "TB_02", header_row=8, rows_per_partition=16)
+        made = shared.keep(tables.period_table(raw, tables.CRUSH_COLUMNS))
+    return tables.check_period_table(made, "crush_tonnes")
+
+
+@query(f"SELECT o_custkey, max_by(o_orderkey, (year(o_orderdate) + {SHIFT}) * 10000000000 + o_orderkey) AS o_orderkey, max(year(o_orderdate) + {SHIFT})::INT AS year FROM orders GROUP BY 1")
+def keep_last_in_files(spark, sf_dir):
+    """All orders in files by year, of unequal size and sorted by key; of each customer the last row in the order of files and rows."""
+    orders = table(spark, sf_dir, "orders").select(F.year(moved("o_orderdate")).alias("year"), "o_custkey", "o_orderkey")
+    with shared.scratch(spark) as folder:
+        years = sinks.save_by(orders, folder, "year", "o_orderkey")
+        read = files.read_csv(spark, [f"{folder}/{y}.csv" for y in years], "o_custkey bigint, o_orderkey bigint", sequence="place")
+        last = history.keep_last(read, ["o_custkey"], "place")
+        year = F.get(F.array(*(F.lit(int(y)) for y in years)), F.col("place.listed"))
+        return shared.keep(last.select("o_custkey", "o_orderkey", year.alias("year")))
+
+
+_KNOWN = f"SELECT * FROM ({HISTORY_SQL}) WHERE region <> 'centre_south'"
+
+
+@query(f"""WITH h AS ({_KNOWN}), o AS (SELECT * FROM h WHERE period_end_date < DATE '2009-01-01'), n AS (SELECT * FROM h WHERE period_end_date >= DATE '2009-01-01')
+SELECT 'first' AS version, *, NULL AS previous FROM o UNION ALL SELECT 'second', *, 'first' FROM o UNION ALL SELECT 'second', *, 'first' FROM n UNION ALL SELECT 'restored', *, NULL FROM o""")
+def versioned_history(spark, sf_dir):
+    """A version, one that fails while it is written, one with too few rows, one that adds later reports, and the first one restored."""
+    every = harvest(spark, sf_dir).where("region <> 'centre_south'")
+    old, new = every.where("period_end_date < DATE '2009-01-01'"), every.where("period_end_date >= DATE '2009-01-01'")
+    broken = F.when(F.col("crush_tonnes") % 7 == 3, F.raise_error(F.lit("a task fails")).cast("bigint")).otherwise(F.col("crush_tonnes"))
+    with shared.scratch(spark) as folder:
+        store = versions.Versions(spark, folder)
+        store.write(old, name="first")
+        for name, rows, expected in (("broken", every.withColumn("crush_tonnes", broken), None), ("short", new, every.count())):
+            try:
+                store.append(rows, expected, name=name)
+            except Exception as failed:
+                if "a task fails" not in str(failed) and "verification failed" not in str(failed):
+                    raise
+        store.append(new, name="second")
+        assert store.names() == ["first", "second"] and store.damaged().isEmpty()
+        told = store.history().select("version", "previous")
+        both = [store.read(name).withColumn("version", F.lit(name)) for name in ("first", "second")]
+        store.point_to("first")
+        restored = store.read().withColumn("version", F.lit("restored"))
+        made = both[0].unionByName(both[1]).unionByName(restored).join(F.broadcast(told), "version", "left")
+        return shared.keep(made.select("version", *history.COLUMNS, "previous"))
+
+
+def _service(folder: str):
+    """A weather service whose answers are files: one place in seven always fails, one in five is busy twice."""
+    asked: Counter = Counter()
+
+    def answer(params: dict) -> tuple[int, str]:
+        system, path = shared.located(folder)
+        code = round(params["latitude"] / 1.5)
+        asked[code] += 1
+        if code % 7 == 3:
+            return 503, ""
+        if code % 5 == 1 and asked[code] < 3:
+            return 429, ""
+        name = f"{path}/{code}-{params['start'][:4]}.json"
+        if not system.get_file_info(name).is_file:
+            return 404, ""
+        with system.open_input_stream(name) as file:
+            body = json.loads(file.read())
+        every = body["properties"]["parameter"]
+        for p in every:
+            every[p] = {d: v for d, v in every[p].items() if params["start"] <= d <= params["end"]}
+        return 200, json.dumps(body)
+
+    return answer
+
+
+_DAYS = f"d AS (SELECT * FROM ({DAILY_SQL}) WHERE year BETWEEN 2003 AND 2005)"
+
+
+@query(f"""WITH {_DAYS}, s AS (SELECT DISTINCT ibge_code, municipality FROM ({DAILY_SQL})), w AS (SELECT * FROM d WHERE date >= DATE '2003-06-01' AND date < DATE '2005-03-16' AND ibge_code % 7 <> 3)
+SELECT date AS Date, ibge_code, municipality, PRECTOTCORR, T2M, RH2M, NULL AS error FROM w
+UNION ALL SELECT NULL, ibge_code, municipality, NULL, NULL, NULL, CASE WHEN ibge_code % 7 = 3 THEN 'The request failed after 3 attempts: status 503' ELSE 'The request failed after 3 attempts: status 404' END
+FROM s, (VALUES (2003), (2004), (2005)) AS y(y) WHERE ibge_code % 7 = 3 OR NOT EXISTS (SELECT 1 FROM d WHERE d.ibge_code = s.ibge_code AND d.year = y.y)""")
+def weather_service(spark, sf_dir):
+    """The daily panel asked of a service by station and year, within pushed-down dates; failed requests are rows of the second output."""
+    days = daily(spark, sf_dir)
+    day = F.date_format("date", "yyyyMMdd")
+    own = days.where("year between 2003 and 2005").groupBy("ibge_code", "year").agg(*(F.map_from_entries(F.collect_list(F.struct(day, c))).alias(c) for c in weather.PARAMETERS))
+    body = F.to_json(F.struct(F.struct(F.struct(*weather.PARAMETERS).alias("parameter")).alias("properties")))
+    answers = own.select(F.concat("ibge_code", F.lit("-"), "year", F.lit(".json")).alias("name"), body.cast("binary").alias("content"))
+    stations = days.select(*weather.STATION).distinct()
+    with shared.scratch(spark) as folder:
+        shared.write_files(answers, folder)
+        rows, failed = weather.download(stations, [(f"{y}0101", f"{y}1231") for y in (2003, 2004, 2005)], _service(folder), where="Date >= DATE '2003-06-01' AND Date < DATE '2005-03-16'", tries=3, wait=0)
+    names = ("Date", "ibge_code", "municipality", *weather.PARAMETERS, "error")
+    return rows.withColumn("error", F.lit(None).cast("string")).select(*names).unionByName(failed, allowMissingColumns=True).select(*names)

@@ -7,8 +7,6 @@ don't hang on the order of rows. Season labels have two digits and mean years fr
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads again, where all machines see it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/files-{uuid4().hex}"
-
-
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each nation and ship date: rainfall, temperature and humidity in the daily columns."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_discount", "l_quantity", "l_tax")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contracts, features, history
-from ..sources import files
+from ..sources import files, shared, sinks
 from .catalog import _MONTH, query
-from .panel import HISTORY_SQL, daily, scratch, table
+from .panel import HISTORY_SQL, daily, table
 from .panel import history as harvest
 
 
@@ -76,8 +76,8 @@ def broken_contracts(spark, sf_dir):
         "repeated keys": head(lambda: contracts.require_unique(customers, ["c_nationkey"])),
         "keys of a join": head(lambda: contracts.checked_join(customers.withColumnRenamed("c_nationkey", "n_nationkey"), table(spark, sf_dir, "nation"), ["n_nationkey"])),
         "no frames": lambda: contracts.union_all([]),
-        "no years": lambda: files.read_years(spark, scratch(spark), []),
-        "absent file": head(lambda: files.harvest_history(spark, f"{scratch(spark)}/none.csv")),
+        "no years": lambda: files.read_years(spark, sf_dir, []),
+        "absent file": head(lambda: files.harvest_history(spark, f"{sf_dir}/none.csv")),
         "unique keys": lambda: contracts.require_unique(regions, ["r_regionkey"]),
     }
     return _raised(spark, cases)
@@ -144,19 +144,19 @@ def history_file(spark, sf_dir):
     """The history written as CSV with each row twice, the second as it should be, and read with its checks: the last row of a key stays."""
     known = harvest(spark, sf_dir).where("region <> 'centre_south'").select(*history.COLUMNS)
     twice = known.withColumn("crush_tonnes", F.col("crush_tonnes") + 5).withColumn("_n", F.lit(1)).unionByName(known.withColumn("_n", F.lit(2)))
-    path = f"{scratch(spark)}/history.csv"
-    # One file, so that it has an order; a harvest history has some rows for each half of a month.
-    twice.coalesce(1).sortWithinPartitions("_n").drop("_n").write.option("header", True).csv(path)
-    return files.harvest_history(spark, path)
+    with shared.scratch(spark) as folder:
+        # Two files, the second of which counts.
+        names = sinks.save_by(twice, folder, "_n")
+        return shared.keep(files.harvest_history(spark, [f"{folder}/{n}.csv" for n in names]))
 
 
 @query(f"{_MONTH} SELECT ibge_code, municipality, year, month, total_rainfall, rainy_days, missing_weather_days, has_complete_weather_period FROM w")
 def monthly_file(spark, sf_dir):
     """Monthly weather written as CSV and read again."""
     made = features.with_coverage(features.monthly_features(daily(spark, sf_dir)))
-    path = f"{scratch(spark)}/monthly.csv"
-    made.write.option("header", True).csv(path)
-    return files.monthly_weather(spark, path).select("ibge_code", "municipality", "year", "month", "total_rainfall", "rainy_days", "missing_weather_days", "has_complete_weather_period")
+    with shared.scratch(spark) as folder:
+        made.write.option("header", True).csv(f"{folder}/monthly.csv")
+        return shared.keep(files.monthly_weather(spark, f"{folder}/monthly.csv")).select("ibge_code", "municipality", "year", "month", "total_rainfall", "rainy_days", "missing_weather_days", "has_complete_weather_period")
 
 
 @query(f"""{_MONTH}, f AS (SELECT count(*) FILTER (temperature_std IS NULL) AS n FROM w), g AS (SELECT count(*) AS n FROM w WHERE temperature_std IS NOT NULL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, text
@@ -32,20 +32,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, name: str = "CSV file", **options) -> DataFrame:
-    """CSV with a header. Columns are matched by name; without a schema types are inferred."""
+def file_order(paths: Sequence[str]) -> Column:
+    """A sequence of rows as they stand in their files: place of the path in the list, file, first byte of the block, number within it.
+
+    Spark packs files and blocks into tasks by size, so a row's task says nothing of its order.
+    A block is read by one task from its first row to its last, so numbers that tasks count up are in order within a block.
+    """
+    file = F.col("_metadata.file_path")
+    listed = F.coalesce(*(F.when(F.contains(file, F.lit(p.split("://")[-1].removeprefix("file:").rstrip("/"))), k) for k, p in enumerate(paths)), F.lit(len(paths)))
+    return F.struct(listed.alias("listed"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, name: str = "CSV file", sequence: str | None = None, **options) -> DataFrame:
+    """CSV with a header. Columns are matched by name; without a schema types are inferred. ``sequence`` names a column of :func:`file_order`."""
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
         if not exists(spark, p):
             raise FileNotFoundError(f"{name} not found: {p}")
     reader = spark.read.option("header", True).option("mode", "FAILFAST").options(**options)
+    order = [file_order(paths).alias(sequence)] if sequence else []
     try:
         if schema is None:
-            return reader.option("inferSchema", True).csv(paths)
+            return reader.option("inferSchema", True).csv(paths).select("*", *order)
         raw = reader.csv(paths)  # all text: the file's own order of columns
         wanted = [part.strip().split()[:2] for part in schema.split(",")]
         contracts.require_columns(raw, [c for c, _ in wanted], name)
-        return raw.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in wanted))
+        return raw.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in wanted), *order)
     except AnalysisException as failed:
         if "PATH_NOT_FOUND" in str(failed):
             raise FileNotFoundError(f"{name} not found: {paths}") from failed
@@ -58,8 +70,10 @@ def read_years(spark: SparkSession, folder: str, years: Sequence[int], schema: s
         raise ValueError("At least one year must be provided.")
     if not exists(spark, folder):
         raise FileNotFoundError(f"Input folder not found: {folder}")
-    parts = [read_csv(spark, f"{folder.rstrip('/')}/{y}.csv", schema, **options).withColumn("_year", F.lit(int(y))) for y in years]
-    return contracts.union_all(parts)
+    paths = [f"{folder.rstrip('/')}/{y}.csv" for y in years]
+    # One scan of all files; each row's year is that of its file.
+    df = read_csv(spark, paths, schema, sequence="_place", **options)
+    return df.withColumn("_year", F.get(F.array(*(F.lit(int(y)) for y in years)), F.col("_place.listed"))).drop("_place")
 
 
 def daily_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -72,9 +86,9 @@ def monthly_weather(spark: SparkSession, path: str) -> DataFrame:
     return contracts.require_rows(df, "Monthly weather dataset is empty.")
 
 
-def harvest_history(spark: SparkSession, path: str) -> DataFrame:
-    """Checked history; of rows with one key the last of the file stays."""
-    raw = read_csv(spark, path, HISTORY, "Historical database").withColumn("_sequence", F.monotonically_increasing_id())
+def harvest_history(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Checked history; of rows with one key the last in the order of files and rows stays."""
+    raw = read_csv(spark, path, HISTORY, "Historical database", sequence="_sequence")
     contracts.require_rows(raw, "Historical crushing dataset is empty.")
     contracts.Expectations(raw).present(["season", "period_end_date", "region", "crush_tonnes"]).non_negative(["crush_tonnes"]).check()
     return keep_last(raw, ["season", "period_end_date", "region"], "_sequence").drop("_sequence")

@@ -1,14 +1,11 @@
-"""Writers: plain CSV and Parquet, versions with verification, summaries."""
+"""Writers: plain CSV and Parquet, files by value, summaries. Verified versions: ``versions``."""
 
 from __future__ import annotations
 
-from datetime import datetime
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.contracts import is_missing
-from .files import exists
 
 
 def save_csv(df: DataFrame, path: str, files: int | None = 1) -> None:
@@ -21,63 +18,22 @@ def save_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-class Versions:
-    """A table as a folder of complete versions, of which a small file names the current one.
+def save_by(df: DataFrame, folder: str, column: str, *order: str) -> list[str]:
+    """``<value>.csv`` for each value of a column, in one write. Returns the values in order.
 
-    A version is written beside the others, read again and counted; only then does
-    the name change. So a reader sees the old or the new version, and a failure
-    leaves the old one as it was. Older versions are the backups.
+    With ``order`` the rows of a value are in one file, in that order.
     """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path, path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def names(self) -> list[str]:
-        path, fs = self._fs()
-        if not exists(self.spark, self.folder):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(path(self.folder)) if s.getPath().getName().startswith("v_"))
-
-    def current(self) -> str | None:
-        pointer = f"{self.folder}/current.txt"
-        return self.spark.read.text(pointer).first()[0] if exists(self.spark, pointer) else None
-
-    def read(self) -> DataFrame:
-        name = self.current()
-        if name is None:
-            raise FileNotFoundError(f"Historical database does not exist: {self.folder}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def point_to(self, name: str) -> None:
-        """Make a version the current one, in one rename where the file system has that."""
-        path, fs = self._fs()
-        staged = path(f"{self.folder}/next_{name}.txt")
-        stream = fs.create(staged, True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
-        fs.delete(path(f"{self.folder}/current.txt"), False)
-        if not fs.rename(staged, path(f"{self.folder}/current.txt")):
-            raise OSError(f"{self.folder}/current.txt could not be replaced")
-
-    def write(self, df: DataFrame, rows: int | None = None) -> str:
-        """A new version of ``df``, current once it has been verified. Returns its name."""
-        name = f"v_{datetime.now():%Y%m%d_%H%M%S_%f}"
-        path, fs = self._fs()
-        target = f"{self.folder}/{name}"
-        expected = df.count() if rows is None else rows
-        try:
-            df.write.parquet(target)
-            if self.spark.read.parquet(target).count() != expected:
-                raise RuntimeError("Temporary version verification failed: row count changed after writing.")
-        except BaseException:
-            fs.delete(path(target), True)
-            raise
-        self.point_to(name)
-        return name
+    spark, staged = df.sparkSession, f"{folder.rstrip('/')}/_staged"
+    dealt = df.repartition(F.col(column)).sortWithinPartitions(column, *order) if order else df
+    dealt.write.mode("overwrite").option("header", True).partitionBy(column).csv(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in fs.listStatus(path(staged)) if s.getPath().getName().startswith(f"{column}="))
+    for name in found:
+        if not fs.rename(path(f"{staged}/{name}"), path(f"{folder}/{name.split('=', 1)[1]}.csv")):
+            raise OSError(f"{staged}/{name} could not be renamed")
+    fs.delete(path(staged), True)
+    return [name.split("=", 1)[1] for name in found]
 
 
 def summary(df: DataFrame, date_column: str | None = None) -> DataFrame:

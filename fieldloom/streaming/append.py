@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import update
-from ..sources.sinks import Versions
+from ..sources.versions import Versions
 
 
 def append_reports(reports: DataFrame, store: Versions, checkpoint: str, **trigger) -> StreamingQuery:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import contracts, history, reports, tables, words
-from fieldloom.sources.sinks import Versions
+from fieldloom.sources.versions import Versions
 from fieldloom.streaming.append import append_reports
 
 

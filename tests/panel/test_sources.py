@@ -1,38 +1,11 @@
-import zipfile
+import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.plans.sheets import workbook as book
 from fieldloom.sources import files, pages, sinks, weather, workbook
 
-CONTENT = '<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
-
-
-def book(path, sheets):
-    """A small workbook: sheets by name, rows of values; dates as ``("date", serial)``."""
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    shared: list[str] = []
-
-    def cell(value, at):
-        if value is None:
-            return ""
-        if isinstance(value, tuple):
-            return f'<c r="{at}" s="1"><v>{value[1]}</v></c>'
-        if isinstance(value, str):
-            shared.append(value)
-            return f'<c r="{at}" t="s"><v>{len(shared) - 1}</v></c>'
-        return f'<c r="{at}"><v>{value}</v></c>'
-
-    with zipfile.ZipFile(path, "w") as z:
-        for k, rows in enumerate(sheets.values(), 1):
-            body = "".join(f'<row r="{r}">' + "".join(cell(v, f"{chr(65 + c)}{r}") for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1) if row)
-            z.writestr(f"xl/worksheets/sheet{k}.xml", CONTENT.format(body))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
-        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-
-
 def test_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("rainfall,municipality\n10.0,Adamantina\n20.0,Adolfo\n")
@@ -76,16 +49,48 @@ def test_matrix(spark, tmp_path):
     assert [tuple(r) for r in municipal_production(df, years).collect()] == [("Adolfo", "1", "2")]
 
 
-def test_workbook(spark, tmp_path):
+BOOK = {"x": [["no"]], "TB_02": [[], ["SAFRA", " QUINZENA ", None, "MOAGEM"], ["25-26", datetime.date(2025, 4, 16), True, 12.5], [None, None, None, None], ["25-26", None, None, 7, "beyond"], [], ["a & <b>", None, None, None]]}
+
+
+@pytest.mark.parametrize("rows", [1, 2, 100])
+@pytest.mark.parametrize("dimension", [True, False])
+def test_workbook(spark, tmp_path, rows, dimension):
+    path = tmp_path / "b.xlsx"
+    path.write_bytes(book(BOOK, dimension))
+    df = workbook.read_sheet(spark, str(path), "TB_02", header_row=1, rows_per_partition=rows)
+    assert df.columns == ["SAFRA", "QUINZENA", "_2", "MOAGEM", "_file", "_sheet"]
+    want = [("25-26", "2025-04-16", "true", "12.5"), ("25-26", None, None, "7"), ("a & <b>", None, None, None)]
+    assert sorted((tuple(r)[:4] for r in df.collect()), key=str) == sorted(want, key=str)
+    assert df.rdd.getNumPartitions() == (1 if rows == 100 or not dimension else -(-5 // rows))
+    few = workbook.read_sheet(spark, str(path), "TB_02", header_row=1, columns=["MOAGEM"], rows_per_partition=rows)
+    assert few.columns == ["MOAGEM", "_file", "_sheet"] and sorted(r.MOAGEM for r in few.collect()) == ["12.5", "7"]
+    assert workbook.sheet_names(str(path)) == ["x", "TB_02"]
+
+
+def test_workbooks_of_a_folder(spark, tmp_path):
+    for name, rows in (("b", [["k", "v"], ["x", 1]]), ("a", [["k", "v"], ["y", 2], ["z", None]])):
+        (tmp_path / f"{name}.xlsx").write_bytes(book({"one": rows, "two": [["k", "v"], [f"{name}2", 3]]}))
+    (tmp_path / "~a.xlsx").write_bytes(b"lock")
+    found = sorted((r._file.rsplit("/", 1)[1], r._sheet, r.k, r.v) for r in workbook.read_sheet(spark, f"file://{tmp_path}", "*").collect())
+    assert found == [("a.xlsx", "one", "y", "2"), ("a.xlsx", "one", "z", None), ("a.xlsx", "two", "a2", "3"), ("b.xlsx", "one", "x", "1"), ("b.xlsx", "two", "b2", "3")]
+    (tmp_path / "c.xlsx").write_bytes(book({"one": [["k", "other"], ["x", 1]]}))
+    with pytest.raises(Exception, match="c.xlsx has other columns"):
+        workbook.read_sheet(spark, str(tmp_path)).collect()
+
+
+def test_workbook_errors(spark, tmp_path):
     path = tmp_path / "b.xlsx"
-    book(path, {"x": [["no"]], "TB_02": [[], ["SAFRA", "QUINZENA", "MOAGEM"], ["25-26", ("date", 45763), 12.5], [None, None, None], ["25-26", None, 7]]})
-    df = workbook.read_sheet(spark, str(path), "TB_02", header_row=1)
-    assert [tuple(r)[:3] for r in df.collect()] == [("25-26", "2025-04-16", "12.5"), ("25-26", None, "7")]
-    assert workbook.sheet_names(path.read_bytes()) == ["x", "TB_02"]
+    path.write_bytes(book(BOOK))
     with pytest.raises(ValueError, match="was not found"):
         workbook.read_sheet(spark, str(path), "TB_09")
-    with pytest.raises(FileNotFoundError):
-        workbook.read_sheet(spark, str(tmp_path / "none.xlsx"))
+    with pytest.raises(ValueError, match="no header row"):
+        workbook.read_sheet(spark, str(path), "x", header_row=5)
+    with pytest.raises(ValueError, match="Columns not found"):
+        workbook.read_sheet(spark, str(path), columns=["none"])
+    for missing in (tmp_path / "none.xlsx", tmp_path / "empty"):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        with pytest.raises(FileNotFoundError, match="Excel workbook"):
+            workbook.read_sheet(spark, str(missing))
 
 
 STATIONS = [("A", 1, "SP", 1.0, 2.0), ("B", 2, "SP", 3.0, 4.0)]
@@ -122,6 +127,50 @@ def test_download(spark):
         weather.download(stations(spark, STATIONS + STATIONS), [("20240101", "20240131")], answer)
 
 
+def echo():
+    """A transport with one day for each end of the period that is asked for."""
+
+    def answer(params):
+        import json
+
+        days = {params["start"]: 1, params["end"]: None}
+        return 200, json.dumps({"properties": {"parameter": {p: days for p in params["parameters"].split(",")}}})
+
+    return answer
+
+
+def test_dates_are_pushed_to_the_service(spark):
+    periods = [("20230101", "20231231"), ("20240101", "20241231"), ("20250101", "20250630")]
+    rows = weather.read(stations(spark), periods, echo(), wait=0, requestsPerPartition=2)
+    asked = lambda df: sorted({(r.start, r.end) for r in df.collect()})
+    assert asked(rows) == periods and rows.rdd.getNumPartitions() == 3
+    assert asked(rows.where("Date > DATE '2023-12-30' AND Date <= DATE '2024-03-31'")) == [("20231231", "20231231"), ("20240101", "20240331")]
+    assert asked(rows.where("Date = DATE '2024-02-29' AND municipality = 'A'")) == [("20240229", "20240229")]
+    assert rows.where("Date < DATE '2020-01-01'").count() == 0
+    # A condition that isn't pushed is applied to the rows.
+    assert asked(rows.where("month(Date) = 6")) == [("20250101", "20250630")]
+
+
+def test_failed_requests_survive_pushed_dates(spark):
+    rows = weather.read(stations(spark), [("20240101", "20240131")], answers(), wait=0, tries=2).where("Date >= DATE '2024-01-02'").collect()
+    assert sorted((r.municipality, r.error is None) for r in rows) == [("A", True), ("B", False)]
+    assert {str(r.Date) for r in rows if r.error is None} == {"2024-01-02"}  # though this service gives more than it is asked for
+
+
+@pytest.mark.parametrize("body", ["", "[]", "{}", '{"properties":{}}', '{"properties":{"parameter":{"T2M":{"2024-01-01":1},"PRECTOTCORR":{},"RH2M":{}}}}', '{"properties":{"parameter":{"T2M":{}}}}', '{"properties":{"parameter":{"T2M":{"20240101":"x"},"PRECTOTCORR":{},"RH2M":{}}}}'])
+def test_answers_that_are_none(spark, body):
+    rows = weather.read(stations(spark, STATIONS[:1]), [("20240101", "20240131")], lambda _: (200, body), wait=0).collect()
+    assert len(rows) == 1 and rows[0].Date is None and rows[0].error
+
+
+def test_many_stations_stay_a_dataframe(spark, monkeypatch):
+    monkeypatch.setattr(weather, "MOST_STATIONS", 1)
+    days, failed = weather.download(stations(spark), [("20240101", "20240131")], answers(), wait=0)
+    assert days.count() == 2 and [r.municipality for r in failed.collect()] == ["B"]
+    with pytest.raises(ValueError, match="More than 1 stations"):
+        weather.read(stations(spark), [("20240101", "20240131")], echo())
+
+
 def test_retries():
     waits, states = [], iter([(429, ""), (429, ""), (200, "ok")])
     assert weather.fetch(lambda _: next(states), {}, sleep=waits.append) == "ok" and waits == [10, 20]
