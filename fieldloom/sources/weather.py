@@ -176,7 +176,9 @@ class WeatherReader(DataSourceReader):
         requests = [(s, a, b) for s in self.source.stations for a, b in periods]
         return [Requests(requests[k : k + self.source.step]) for k in range(0, len(requests), self.source.step)]
 
-    def read(self, partition: Requests) -> Iterator[tuple]:
+    def read(self, partition: Requests | None) -> Iterator[tuple]:
+        if partition is None:  # nothing was planned
+            return
         own = self.source
         transport = _transport(own.transport) if own.transport else http_transport(own.url)
         for station, start, end in partition.requests:
