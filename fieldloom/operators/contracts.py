@@ -171,14 +171,19 @@ MONTHLY_KEY = ("ibge_code", "year", "month")
 MONTHLY_COUNTS = ("rainy_days", "dry_days", "weather_observation_days", "max_consecutive_dry_days", "missing_weather_days")
 
 
-def check_monthly(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Monthly weather: columns, keys, and all row rules in one pass."""
-    require_exact_columns(df, columns)
+def monthly_rules(df: DataFrame, columns: Sequence[str]) -> Expectations:
+    """All row rules of monthly weather."""
     rules = Expectations(df).present(columns).non_negative(["total_rainfall", "max_daily_rainfall", *MONTHLY_COUNTS])
     rules.never(F.col("rainy_days") + F.col("dry_days") != F.col("weather_observation_days"), "Rainy days and dry days do not add up to weather observation days for monthly records.")
     rules.never(~F.col("weather_coverage_ratio").between(0, 1), "Weather coverage ratio must be between 0 and 1.")
     rules.never(F.col("max_consecutive_dry_days") > F.col("dry_days"), "Maximum consecutive dry days cannot exceed the total number of dry days.")
-    rules.never(~F.col("month").between(1, 12), "Month values must be between 1 and 12.").check()
+    return rules.never(~F.col("month").between(1, 12), "Month values must be between 1 and 12.")
+
+
+def check_monthly(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Monthly weather: columns, keys, and all row rules in one pass."""
+    require_exact_columns(df, columns)
+    monthly_rules(df, columns).check()
     return require_unique(df, MONTHLY_KEY)
 
 

@@ -18,13 +18,23 @@ HISTORY_REGIONS = ("sao_paulo", "other_states")
 REPORT_ONLY_REGIONS = ("centre_south",)
 
 
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """The history's columns in its types."""
+    require_columns(df, COLUMNS, name)
+    return df.select(text.strip(F.col("season").cast("string")).alias("season"), F.col("period_end_date").cast("date").alias("period_end_date"), text.strip(F.col("region").cast("string")).alias("region"), F.col("crush_tonnes").cast("bigint").alias("crush_tonnes"))
+
+
+def rules(df: DataFrame, name: str) -> Expectations:
+    """Row rules of a history or a report."""
+    every = Expectations(df).present(KEY, f"Missing key values found in {name}:\n").never(F.col("crush_tonnes").isNull(), f"Missing crush_tonnes values found in {name}:\n")
+    return every.never(F.col("crush_tonnes") < 0, f"Negative crush_tonnes values found in {name}:\n")
+
+
 def prepare(df: DataFrame, name: str) -> DataFrame:
     """The history's columns in its types, checked."""
-    require_columns(df, COLUMNS, name)
-    typed = df.select(text.strip(F.col("season").cast("string")).alias("season"), F.col("period_end_date").cast("date").alias("period_end_date"), text.strip(F.col("region").cast("string")).alias("region"), F.col("crush_tonnes").cast("bigint").alias("crush_tonnes"))
-    rules = Expectations(typed).present(KEY, f"Missing key values found in {name}:\n").never(F.col("crush_tonnes").isNull(), f"Missing crush_tonnes values found in {name}:\n")
-    rules.never(F.col("crush_tonnes") < 0, f"Negative crush_tonnes values found in {name}:\n").check()
-    return require_unique(typed, KEY, f"Duplicate keys found in {name}:\n")
+    out = typed(df, name)
+    rules(out, name).check()
+    return require_unique(out, KEY, f"Duplicate keys found in {name}:\n")
 
 
 def conflicts(history: DataFrame, report: DataFrame) -> DataFrame:

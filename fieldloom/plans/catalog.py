@@ -375,4 +375,4 @@ def translated_headers(spark, sf_dir):
     return tables.translate(raw)
 
 
-from . import intake, violations  # noqa: E402, F401 - register their queries
+from . import intake, passes, violations  # noqa: E402, F401 - register their queries

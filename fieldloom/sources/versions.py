@@ -11,7 +11,8 @@ version or the new one. Older versions are the backups; pointing back to one res
 writing these. A writer whose base isn't the current version any more fails, so of
 two writers that overlap one fails (where renames are atomic). Versions are read by Spark's own Parquet reader.
 
-Options: ``expectedRows`` (of this write), ``name`` (of the version).
+Options: ``expectedRows`` (of this write), ``name`` (of the version), ``publish`` (``false``: the version
+waits until :meth:`Versions.point_to` or :meth:`Versions.discard`).
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ class VersionedSource(DataSource):
     def __init__(self, options):
         super().__init__(options)
         self.path, self.version, self.expected = options["path"], options.get("name", ""), options.get("expectedRows")
+        self.publish = options.get("publish", "true") == "true"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return VersionWriter(self, schema, overwrite)
@@ -85,7 +87,7 @@ class VersionedSource(DataSource):
 class VersionWriter(DataSourceArrowWriter):
     def __init__(self, source: VersionedSource, schema, overwrite: bool):
         system, path = shared.located(source.path)
-        self.uri, self.expected, self.overwrite = source.path, source.expected, overwrite
+        self.uri, self.expected, self.overwrite, self.publish = source.path, source.expected, overwrite, source.publish
         self.version = source.version or f"v_{datetime.now():%Y%m%d_%H%M%S_%f}"
         self.base = _read(system, f"{path}/{CURRENT}")
         self.schema = schema
@@ -128,7 +130,8 @@ class VersionWriter(DataSourceArrowWriter):
         every = kept + [vars(p) for p in sorted(parts, key=lambda p: p.path)]
         manifest = {"version": self.version, "previous": (self.base or {}).get("version"), "rows": sum(p["rows"] for p in every), "schema": json.loads(self.schema.json()), "parts": every}
         _write(system, f"{top}/{self.version}/{MANIFEST}", manifest)
-        publish(self.uri, manifest)
+        if self.publish:
+            publish(self.uri, manifest)
 
     def abort(self, messages: list[Part | None]) -> None:
         system, top = shared.located(self.uri)
@@ -172,12 +175,19 @@ class Versions:
             raise FileNotFoundError(f"No such version: {self.folder}/{name}")
         publish(self.folder, manifest)
 
-    def _save(self, df: DataFrame, mode: str, rows: int | None, name: str | None) -> str:
-        before = self.current()
+    def discard(self, name: str) -> None:
+        """Remove a version that isn't the current one and of which no other keeps parts."""
+        others = [m for n in self.names() if n != name and (m := self.manifest(n))]
+        if name == self.current() or any(p["path"].startswith(f"{name}/") for m in others for p in m["parts"]):
+            raise ValueError(f"The version is in use: {self.folder}/{name}")
+        system, path = shared.located(self.folder)
+        system.delete_dir(f"{path}/{name}")
+
+    def _save(self, df: DataFrame, mode: str, rows: int | None, name: str | None, publish: bool = True) -> str:
         name = name or f"v_{datetime.now():%Y%m%d_%H%M%S_%f}"
         if self.manifest(name):
             raise FileExistsError(f"There is a version {name} already: {self.folder}")
-        writer = df.write.format("versioned").mode(mode).option("name", name)
+        writer = df.write.format("versioned").mode(mode).option("name", name).option("publish", str(publish).lower())
         try:
             (writer if rows is None else writer.option("expectedRows", str(rows))).save(self.folder)
         except PySparkException as failed:
@@ -185,16 +195,15 @@ class Versions:
                 if said in str(failed):
                     raise RuntimeError([line for line in str(failed).splitlines() if said in line][-1].removeprefix("RuntimeError: ")) from failed
             raise
-        assert self.current() != before
         return name
 
-    def write(self, df: DataFrame, rows: int | None = None, name: str | None = None) -> str:
+    def write(self, df: DataFrame, rows: int | None = None, name: str | None = None, publish: bool = True) -> str:
         """A new version of ``df``, current once it is verified. Returns its name."""
-        return self._save(df, "overwrite", rows, name)
+        return self._save(df, "overwrite", rows, name, publish)
 
-    def append(self, df: DataFrame, rows: int | None = None, name: str | None = None) -> str:
+    def append(self, df: DataFrame, rows: int | None = None, name: str | None = None, publish: bool = True) -> str:
         """A new version of the current rows and those of ``df``."""
-        return self._save(df, "append", rows, name)
+        return self._save(df, "append", rows, name, publish)
 
     def history(self) -> DataFrame:
         """One row ``(version, previous, rows, parts)`` for each version."""
