@@ -172,12 +172,20 @@ def rank_panel(spark, sf_dir):
     return _rounded(ranking.rank_panel(_rounded(_seasons(spark, sf_dir))))
 
 
-@query()
+def _number_sql(column: str, decimals: int, scale: float, unit: str = "") -> str:
+    return f"format('{{{{:,.{decimals}f}}}}', {column}::DOUBLE / {scale})" + (f" || ' {unit}'" if unit else "")
+
+
+@query(f"{_JOINED} SELECT state, harvest_season, " + ", ".join(f"{_number_sql(c, d, s)} AS {c}" for c, _, d, s in ranking.TABLE).replace("{{", "{").replace("}}", "}") + " FROM wh")
 def season_table(spark, sf_dir):
     return ranking.season_table(_rounded(_seasons(spark, sf_dir)))
 
 
-@query()
+_PANEL_SQL = " UNION ALL ".join(f"SELECT state, harvest_season, growing_season_start, growing_season_end, latest_report_date, '{t}' AS metric, {_number_sql(c, d, s, u)} AS value FROM n" for c, t, u, d, s in ranking.PANEL).replace("{{", "{").replace("}}", "}")
+_DATES = ("growing_season_start", "growing_season_end", "latest_report_date")
+
+
+@query(f"{_JOINED}, n AS (SELECT * REPLACE ({', '.join(f'{c}::DATE::VARCHAR AS {c}' for c in _DATES)}) FROM wh ORDER BY state DESC, harvest_season DESC LIMIT 1) {_PANEL_SQL}")
 def season_panel(spark, sf_dir):
     return ranking.season_panel(_rounded(_seasons(spark, sf_dir)))
 
@@ -375,4 +383,4 @@ def translated_headers(spark, sf_dir):
     return tables.translate(raw)
 
 
-from . import intake, passes, violations  # noqa: E402, F401 - register their queries
+from . import intake, passes, seasons, violations  # noqa: E402, F401 - register their queries
