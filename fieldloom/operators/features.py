@@ -36,9 +36,18 @@ def longest_dry_spell(df: DataFrame, keys: Sequence[str], rainfall: str = "PRECT
     return runs.groupBy(*keys).agg(F.max("_days").alias("max_consecutive_dry_days"))
 
 
-def with_dry_spell(aggregated: DataFrame, daily: DataFrame, keys: Sequence[str], **options) -> DataFrame:
-    spells = longest_dry_spell(daily, keys, **options)
-    return aggregated.join(spells, list(keys), "left").withColumn("max_consecutive_dry_days", F.coalesce("max_consecutive_dry_days", F.lit(0)).cast("bigint"))
+def with_dry_run(df: DataFrame, keys: Sequence[str], rainfall: str = "PRECTOTCORR", date: str = "date", threshold: float = DRY_SPELL) -> DataFrame:
+    """``df`` with ``_dry_run``: how many dry calendar days in a row a day ends, 0 on others. Dates must be unique by key.
+
+    A run is the distance to the last break: a day that isn't dry, or the day before one that follows a gap. All
+    windows share one sort by key and date, over which a group's other aggregates run too.
+    """
+    order = Window.partitionBy(*keys).orderBy(date)
+    number, before = F.row_number().over(order), F.lag(date).over(order)
+    follows = F.coalesce(F.datediff(F.col(date), before) == 1, F.lit(False))
+    dry = F.coalesce(F.col(rainfall) < threshold, F.lit(False))
+    marked = df.withColumns({"_number": number, "_break": F.when(~dry, number).when(~follows, number - 1)})
+    return marked.withColumn("_dry_run", F.col("_number") - F.max("_break").over(order)).drop("_number", "_break")
 
 
 def strict_average(value: Column) -> Column:
@@ -63,7 +72,7 @@ def with_calendar(df: DataFrame) -> DataFrame:
 def monthly_features(daily: DataFrame, dry_day: float = DRY_DAY, dry_spell: float = DRY_SPELL) -> DataFrame:
     """One row for each station and month; runs of dry days end with the month."""
     rain = F.col("PRECTOTCORR")
-    sums = daily.groupBy(*MONTH_KEYS).agg(
+    return with_dry_run(daily, MONTH_KEYS, threshold=dry_spell).groupBy(*MONTH_KEYS).agg(
         half_even(F.sum(rain), 2).alias("total_rainfall"),
         half_even(F.avg("T2M"), 2).alias("average_temperature"),
         half_even(F.avg("RH2M"), 2).alias("average_humidity"),
@@ -72,8 +81,8 @@ def monthly_features(daily: DataFrame, dry_day: float = DRY_DAY, dry_spell: floa
         half_even(F.max(rain), 2).alias("max_daily_rainfall"),
         half_even(F.stddev_samp("T2M"), 2).alias("temperature_std"),
         F.count("date").alias("weather_observation_days"),
+        F.max("_dry_run").cast("bigint").alias("max_consecutive_dry_days"),
     )
-    return with_dry_spell(sums, daily, MONTH_KEYS, threshold=dry_spell)
 
 
 def with_coverage(monthly: DataFrame) -> DataFrame:
@@ -111,14 +120,14 @@ def growing_season_features(daily: DataFrame, dry_day_threshold: float = DRY_SPE
     """One row for each station and harvest year, in one lazy plan."""
     require_columns(daily, ("ibge_code", "municipality", "state", "date", "year", "month", "PRECTOTCORR", "T2M"))
     season = select_growing_season(daily, start_month, end_month).withColumn("date", F.col("date").cast("date"))
-    sums = season.groupBy(*SEASON_KEYS).agg(
+    return with_dry_run(season, SEASON_KEYS, threshold=dry_day_threshold).groupBy(*SEASON_KEYS).agg(
         half_even(F.sum("PRECTOTCORR"), 2).alias("growing_season_total_rainfall"),
         half_even(F.avg("T2M"), 2).alias("growing_season_average_temperature"),
         F.count("date").alias("growing_season_observation_days"),
         F.min("date").alias("growing_season_start_date"),
         F.max("date").alias("growing_season_end_date"),
+        F.max("_dry_run").cast("bigint").alias("growing_season_max_consecutive_dry_days"),
     )
-    return with_dry_spell(sums, season, SEASON_KEYS, threshold=dry_day_threshold).withColumnRenamed("max_consecutive_dry_days", "growing_season_max_consecutive_dry_days")
 
 
 def of_harvest_years(features: DataFrame, years: Sequence[int]) -> DataFrame:

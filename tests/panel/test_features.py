@@ -108,3 +108,20 @@ def test_spell_plan_has_no_python_and_one_key(spark):
     rows = features.longest_dry_spell(features.with_calendar(daily(spark, [(1, "2020-01-01", 0, 20)])), ["ibge_code"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_dry_runs_with_the_other_sums(spark):
+    """The same longest runs as by islands, in a plan that reads and deals out the days once."""
+    r = random.Random(6)
+    days = [(s, datetime.date(2023, 8, 1) + datetime.timedelta(days=k), r.choice((0.0, 0.2, 0.9, 1.0, 3.0, None)) if s else 0.5) for s in range(4) for k in range(280) if r.random() < 0.8]
+    made = spark.createDataFrame(days, "ibge_code bigint, date date, PRECTOTCORR double").repartition(3)
+    panel = made.select("*", F.year("date").alias("year"), F.month("date").alias("month"), F.lit("m").alias("municipality"), F.lit("SP").alias("state"), F.lit(1.0).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit(20.0).alias("T2M"), F.lit(50.0).alias("RH2M"))
+    for found, keys, name, rows in (
+        (features.monthly_features(panel), ["ibge_code", "year", "month"], "max_consecutive_dry_days", panel),
+        (features.growing_season_features(panel), ["ibge_code", "harvest_year"], "growing_season_max_consecutive_dry_days", features.select_growing_season(panel)),
+    ):
+        want = {tuple(x)[:-1]: tuple(x)[-1] for x in features.longest_dry_spell(rows, keys).collect()}
+        got = {tuple(x)[:-1]: tuple(x)[-1] for x in found.select(*keys, name).collect()}
+        assert {k: n for k, n in got.items() if n} == want and len(got) > len(want) * 0.9
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") == 1 and "Join" not in plan
