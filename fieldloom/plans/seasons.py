@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import agronomy
-from .catalog import _STATES, _rounded, query
+from ..sources import shared
+from . import stages
+from .catalog import _STATES, _WEATHER, _rounded, query
 from .panel import DAILY_SQL, HISTORY_SQL, daily, table
 from .panel import history as harvest
 
@@ -97,3 +102,40 @@ def harvest_weighted_weather(spark, sf_dir):
     levels = (low, middle.withColumn("state", F.lit(None).cast("string")), top.withColumns({c: F.lit(None).cast("string") for c in ("state", "season")}))
     made = [agronomy.weighted_means(s, _VALUES) for s in levels]
     return _rounded(made[0].unionByName(made[1]).unionByName(made[2]), 6)
+
+
+_RUN_DAYS = f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY ibge_code, year, month) AS n FROM ({DAILY_SQL})) WHERE n > 1"
+_RUN = f"""{_WEATHER.replace(DAILY_SQL, _RUN_DAYS)}, h AS (SELECT *, 2000 + substr(season, 1, 2)::INT AS y FROM ({HISTORY_SQL}) WHERE region = 'sao_paulo'),
+k AS (SELECT h.*, (SELECT period_end_date FROM h ORDER BY y DESC, period_end_date DESC LIMIT 1) AS r FROM h),
+o AS (SELECT DISTINCT season FROM k WHERE period_end_date <= make_date(y, month(r), day(r))),
+j AS (SELECT harvest_season, has_complete_growing_season AS whole FROM ws JOIN o ON season = harvest_season WHERE state = 'AMERICA'),
+f AS (SELECT DISTINCT ibge_code, CASE WHEN month >= 9 THEN year + 1 ELSE year END AS y FROM d WHERE month >= 9 OR month <= 4)"""
+
+
+@query(f"""{_RUN} SELECT 1 AS place, 'monthly weather' AS stage, 'done' AS state, 1 AS runs, NULL AS error, 'monthly' AS output, (SELECT count(*) FROM m) AS rows
+UNION ALL SELECT 2, 'growing-season features', 'done', 1, NULL, 'season_features', (SELECT count(*) FROM f)
+UNION ALL SELECT 3, 'weather and harvest', 'done', 2, NULL, 'weather_harvest', (SELECT count(*) FROM j)
+UNION ALL SELECT 4, 'season panel', 'done', 1, NULL, 'panel', 8
+UNION ALL SELECT 5, 'season comparison', 'done', 1, NULL, 'comparison/table', (SELECT count(*) FROM j WHERE whole)
+UNION ALL SELECT 5, 'season comparison', 'done', 1, NULL, 'comparison/ranks', CASE WHEN (SELECT count(*) FROM j WHERE whole) > 0 THEN 4 ELSE 0 END
+UNION ALL SELECT 5, 'season comparison', 'done', 1, NULL, 'comparison/trend', 4 * (SELECT count(*) FROM j WHERE whole)""")
+def resumed_run(spark, sf_dir):
+    """The five stages over the whole panel: a run whose third stage fails, then one that goes on from there; what the manifests say."""
+    days = daily(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ibge_code", "year", "month"))).where("n > 1").drop("n", "year", "month")
+    state = F.when(F.col("state") == "AMERICA", "SP").otherwise(F.col("state"))
+
+    def broken(session, root):
+        raise RuntimeError("The third stage fails.")
+
+    third = stages.STAGES[2]
+    with shared.scratch(spark) as root:
+        days.withColumn("state", state).withColumnRenamed("date", "Date").write.parquet(f"{root}/daily")
+        harvest(spark, sf_dir).where("region = 'sao_paulo'").write.parquet(f"{root}/history")
+        said: list[str] = []
+        try:
+            stages.run(spark, root, (*stages.STAGES[:2], replace(third, function=broken), *stages.STAGES[3:]), said.append)
+        except RuntimeError:
+            assert stages.manifest(root, third)["state"] == "failed" and len(said) == 3
+        stages.run(spark, root, say=said.append)
+        assert [line.endswith("unchanged") for line in said[3:8]] == [True, True, False, False, False]
+        return stages.manifests(spark, root)

@@ -47,3 +47,52 @@ def test_against_duckdb(spark, name):
     order = [other.columns.index(c) for c in df.columns]
     text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     assert text(df.collect()) == text(tuple(r[k] for k in order) for r in other.fetchall())
+
+
+def small_stages(log, fail=()):
+    """Two inputs to two tables to one."""
+
+    def step(name, sources, to):
+        def work(spark, root):
+            log.append(name)
+            if name in fail:
+                raise RuntimeError(f"{name} is broken\nmore of it")
+            rows = sum(spark.read.parquet(f"{root}/{s}").count() for s in sources)
+            spark.range(rows).write.mode("overwrite").parquet(f"{root}/{to}")
+
+        return stages.Stage(name, work, tuple(sources), (to,))
+
+    return (step("one", ["x"], "a"), step("two", ["y"], "b"), step("three", ["a", "b"], "c"))
+
+
+def test_runs_go_on_where_they_stopped(spark, tmp_path):
+    root, said = str(tmp_path), []
+    for name, n in (("x", 3), ("y", 4)):
+        spark.range(n).write.parquet(f"{root}/{name}")
+    log = []
+    with pytest.raises(RuntimeError):
+        stages.run(spark, root, small_stages(log, fail=["two"]), said.append)
+    assert log == ["one", "two"]
+    left = {r.stage: r for r in stages.manifests(spark, root, small_stages(log)).collect()}
+    assert set(left) == {"one", "two"} and (left["two"].state, left["two"].error, left["two"].output) == ("failed", "two is broken", None)
+    stages.run(spark, root, small_stages(log), said.append)
+    assert log == ["one", "two", "two", "three"]
+    left = {r.stage: (r.state, r.runs, r.rows) for r in stages.manifests(spark, root, small_stages(log)).collect()}
+    assert left == {"one": ("done", 1, 3), "two": ("done", 2, 4), "three": ("done", 1, 7)}
+
+    log.clear()
+    assert stages.run(spark, root, small_stages(log), said.append) == {"one": 0.0, "two": 0.0, "three": 0.0} and log == []
+    spark.range(9).write.mode("overwrite").parquet(f"{root}/y")  # an input changes
+    stages.run(spark, root, small_stages(log), said.append)
+    assert log == ["two", "three"]
+    log.clear()
+    next((tmp_path / "c").glob("part-*")).unlink()  # an output is damaged
+    stages.run(spark, root, small_stages(log), said.append)
+    assert log == ["three"]
+    log.clear()
+    (tmp_path / "_runs" / "one.json").write_text((tmp_path / "_runs" / "one.json").read_text().replace('"done"', '"running"'))  # a run that was killed
+    stages.run(spark, root, small_stages(log), said.append)
+    assert log[0] == "one"
+    log.clear()
+    stages.run(spark, root, small_stages(log), said.append, resume=False)
+    assert log == ["one", "two", "three"]
