@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import is_season_label
 
@@ -104,11 +105,17 @@ def require_unique(df: DataFrame, keys: Sequence[str] | None = None, message: st
     keys = list(keys or df.columns)
     if absent := [c for c in keys if c not in df.columns]:
         raise ValueError(f"Cannot check duplicates because columns are absent: {absent}")
-    if found := repeated_keys(df, keys).limit(5).collect():
+    if found := repeated_keys(df, keys).orderBy(*(F.col(f"`{k}`").asc_nulls_last() for k in keys)).limit(5).collect():
         raise ValueError(f"{message}{[tuple(r) for r in found]}")
     return df
 
 
+def repeat_masks(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``repeated`` (other rows have the key too) and ``again`` (a row before it in the order has it)."""
+    same = Window.partitionBy(*keys)
+    return df.withColumns({"repeated": F.count(F.lit(1)).over(same) > 1, "again": F.row_number().over(same.orderBy(*(order or keys))) > 1})
+
+
 def require_numeric(df: DataFrame, column: str) -> DataFrame:
     if column not in df.columns:
         raise ValueError(f"Column not found: {column}")

@@ -272,10 +272,11 @@ def repeated_keys(spark, sf_dir):
     return contracts.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS repeated FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS repeated,
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) > 1 AS again FROM lineitem""")
 def dup_mask(spark, sf_dir):
-    rows = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (rows > 1).alias("repeated"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return contracts.repeat_masks(lines, ["l_orderkey", "l_linenumber"], ["l_partkey"])
 
 
 @query("SELECT s AS state, harvest_year, production_thousand_tonnes FROM (SELECT o_orderstatus AS s, (year(o_orderdate) + 8)::VARCHAR AS harvest_year, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS production_thousand_tonnes FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2)")

@@ -6,10 +6,11 @@ import json
 from collections import Counter
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import history, reports, tables, words
+from ..operators import contracts, features, history, reports, tables, words
 from ..sources import files, pages, shared, sinks, versions, weather, workbook
-from .catalog import query
+from .catalog import _JOINED, _MONTH, _seasons, query
 from .panel import DAILY_SQL, HISTORY_SQL, SHIFT, daily, moved, table
 from .panel import history as harvest
 from .reportpages import CELLS, HEADS, SIZE, TITLE, TOTALS_SQL, report_documents
@@ -163,3 +164,64 @@ def weather_service(spark, sf_dir):
         rows, failed = weather.download(stations, [(f"{y}0101", f"{y}1231") for y in (2003, 2004, 2005)], _service(folder), where="Date >= DATE '2003-06-01' AND Date < DATE '2005-03-16'", tries=3, wait=0)
     names = ("Date", "ibge_code", "municipality", *weather.PARAMETERS, "error")
     return rows.withColumn("error", F.lit(None).cast("string")).select(*names).unionByName(failed, allowMissingColumns=True).select(*names)
+
+
+@query(f"""SELECT n_name AS municipality, (year(o_orderdate) + {SHIFT})::VARCHAR AS year, floor(sum(o_totalprice::DECIMAL(12,2)))::BIGINT AS tonnes
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AMERICA' GROUP BY 1, 2""")
+def municipal_matrix(spark, sf_dir):
+    """Yearly totals of every nation as a matrix of municipalities and years below three other lines; those of one state, back to rows."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    placed = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat("n_name", F.when(F.col("r_name") == "AMERICA", " (SP)").otherwise(" (MG)"))
+    wide = placed.withColumn("year", F.year(moved("o_orderdate"))).groupBy(name.alias("place")).pivot("year").agg(F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("bigint"))
+    years = wide.columns[1:]
+    line = F.concat_ws(",", F.concat(F.lit('"'), F.col("place"), F.lit('"')), *(F.coalesce(F.col(y).cast("string"), F.lit("")) for y in years))
+    head = ["Produção", "Fonte: tabelas", "toneladas", ",".join(["Lugar", *(f'"{y}"' for y in years)]), ",".join(["Cana", *years])]
+    # One line for each nation.
+    text = wide.agg(F.concat_ws("\n", F.array(*(F.lit(h) for h in head)), F.sort_array(F.collect_list(line))).alias("text"))
+    with shared.scratch(spark) as folder:
+        shared.write_files(text.select(F.lit("matrix.csv").alias("name"), F.col("text").cast("binary").alias("content")), folder)
+        raw, found = files.municipal_matrix(spark, f"{folder}/matrix.csv")
+        own = tables.municipal_production(raw, found)
+        return shared.keep(own.unpivot("municipality", found, "year", "tonnes").where("tonnes is not null").withColumn("tonnes", F.col("tonnes").cast("bigint")))
+
+
+_BUILT = _MONTH.replace(DAILY_SQL, f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY ibge_code, year, month) AS n FROM ({DAILY_SQL})) WHERE n > 1")
+
+
+@query(f"{_BUILT} SELECT * FROM w")
+def monthly_build(spark, sf_dir):
+    """Daily weather in files of text by period, each built to checked months, then all merged and checked again."""
+    several = F.count(F.lit(1)).over(Window.partitionBy("ibge_code", "year", "month"))
+    days = daily(spark, sf_dir).withColumn("n", several).where("n > 1")
+    days = days.select(F.when(F.col("year") < 2006, "early").otherwise("late").alias("period"), F.col("date").alias("Date"), *features.DAILY_COLUMNS[1:])
+    with shared.scratch(spark) as folder:
+        periods = sinks.save_by(days, folder, "period")
+        built = [features.build_monthly(files.daily_weather(spark, f"{folder}/{p}.csv")) for p in periods]
+        return shared.keep(features.merge_monthly(built))
+
+
+@query(f"{_JOINED} SELECT state, harvest_season, 2000 + substr(harvest_season, 1, 2)::INT AS season_start_year, growing_season_start, latest_report_date, cumulative_crush_tonnes, municipality_count, round(total_growing_season_rainfall, 6) AS rainfall FROM wh WHERE has_complete_growing_season")
+def comparison_file(spark, sf_dir):
+    """The joined dataset as text, its flag in mixed case, read with its checks: complete seasons."""
+    seasons = _seasons(spark, sf_dir)
+    flag = F.when(F.col("has_complete_growing_season"), F.lit(" TRUE")).otherwise(F.lit("False"))
+    with shared.scratch(spark) as folder:
+        seasons.withColumn("has_complete_growing_season", flag).write.option("header", True).csv(f"{folder}/joined")
+        df = files.comparison(spark, f"{folder}/joined", least=1)
+        names = ("state", "harvest_season", "season_start_year", "growing_season_start", "latest_report_date", "cumulative_crush_tonnes", "municipality_count")
+        return shared.keep(df.select(*names, F.round("total_growing_season_rainfall", 6).alias("rainfall")))
+
+
+@query(f"""WITH h AS ({_KNOWN}) SELECT 'lost' AS what, season, period_end_date, region, crush_tonnes FROM h WHERE crush_tonnes % 5 = 0 UNION ALL SELECT 'changed', * FROM h WHERE crush_tonnes % 5 = 1
+UNION ALL SELECT 'overlap', * FROM h WHERE period_end_date BETWEEN DATE '2005-01-01' AND DATE '2005-12-31'""")
+def history_preserved(spark, sf_dir):
+    """Rows that a merge lost, rows that it changed, and the overlap of two parts of the history."""
+    known = harvest(spark, sf_dir).where("region <> 'centre_south'").select(*history.COLUMNS)
+    fifth = F.col("crush_tonnes") % 5
+    changed = known.withColumn("crush_tonnes", F.when(fifth == 1, F.col("crush_tonnes") + 1).otherwise(F.col("crush_tonnes")))
+    lost = history.lost_or_changed(known, known.where(fifth != 0)).withColumn("what", F.lit("lost"))
+    other = history.lost_or_changed(known, changed).withColumn("what", F.lit("changed"))
+    early, late = known.where("period_end_date <= DATE '2005-12-31'"), known.where("period_end_date >= DATE '2005-01-01'")
+    both = contracts.checked_join(early, late.select(*history.KEY), list(history.KEY)).withColumn("what", F.lit("overlap"))
+    return lost.unionByName(other).unionByName(both)

@@ -47,7 +47,7 @@ def missing_values(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT '[' || string_agg(chr(39) || s || chr(39), ', ' ORDER BY s) || ']' AS found FROM (SELECT DISTINCT o_orderstatus AS s FROM orders WHERE o_orderstatus NOT IN ('F'))),
-n AS (SELECT count(*) AS n FROM customer WHERE c_acctbal < 0), k AS (SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1))
+n AS (SELECT count(*) AS n FROM customer WHERE c_acctbal < 0), k AS (SELECT '[' || string_agg('(' || c_nationkey || ', ' || n || ')', ', ' ORDER BY c_nationkey) || ']' AS n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 5))
 SELECT 'absent column' AS contract, 'Orders is missing required columns: [''season'']' AS message
 UNION ALL SELECT 'column order', 'Unexpected columns or column order.' || chr(10) || 'Expected: [''r_name'', ''r_regionkey'']' || chr(10) || 'Found: [''r_regionkey'', ''r_name'']'
 UNION ALL SELECT 'no rows', 'Daily weather dataset is empty.'
@@ -55,8 +55,8 @@ UNION ALL SELECT 'unexpected values', 'Unexpected values found in ''o_orderstatu
 UNION ALL SELECT 'negative values', CASE WHEN n > 0 THEN 'Negative values found in ''c_acctbal'':' || chr(10) || ' (' || n || ' rows)' ELSE 'passed' END FROM n
 UNION ALL SELECT 'not numeric', 'Column is not numeric: c_name'
 UNION ALL SELECT 'absent key', 'Cannot check duplicates because columns are absent: [''year'']'
-UNION ALL SELECT 'repeated keys', CASE WHEN n > 0 THEN 'Duplicate observations found' ELSE 'passed' END FROM k
-UNION ALL SELECT 'keys of a join', CASE WHEN n > 0 THEN 'Merge keys are not unique in the left dataset' ELSE 'passed' END FROM k
+UNION ALL SELECT 'repeated keys', coalesce('Duplicate observations found:' || chr(10) || n, 'passed') FROM k
+UNION ALL SELECT 'keys of a join', coalesce('Merge keys are not unique in the left dataset: ' || n, 'passed') FROM k
 UNION ALL SELECT 'no frames', 'At least one dataset is required.'
 UNION ALL SELECT 'no years', 'At least one year must be provided.'
 UNION ALL SELECT 'absent file', 'Historical database not found'
@@ -73,8 +73,8 @@ def broken_contracts(spark, sf_dir):
         "negative values": lambda: contracts.require_non_negative(customers, "c_acctbal"),
         "not numeric": lambda: contracts.require_non_negative(customers, "c_name"),
         "absent key": lambda: contracts.require_unique(regions, ["year"]),
-        "repeated keys": head(lambda: contracts.require_unique(customers, ["c_nationkey"])),
-        "keys of a join": head(lambda: contracts.checked_join(customers.withColumnRenamed("c_nationkey", "n_nationkey"), table(spark, sf_dir, "nation"), ["n_nationkey"])),
+        "repeated keys": lambda: contracts.require_unique(customers, ["c_nationkey"]),
+        "keys of a join": lambda: contracts.checked_join(customers.withColumnRenamed("c_nationkey", "n_nationkey"), table(spark, sf_dir, "nation"), ["n_nationkey"]),
         "no frames": lambda: contracts.union_all([]),
         "no years": lambda: files.read_years(spark, sf_dir, []),
         "absent file": head(lambda: files.harvest_history(spark, f"{sf_dir}/none.csv")),
