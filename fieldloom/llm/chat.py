@@ -175,7 +175,8 @@ def under_loss(segments: Column) -> Column:
 def op13_chat(spark, sf_dir: str) -> DataFrame:
     """Digests of all conversations and a made one full of control strings, read back from the formatted texts."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    made = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    made = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = format_chats(rows.unionByName(made))
     back = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_loss(F.col("segments")).alias("loss"), "valid", "broken_at")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
