@@ -110,6 +110,13 @@ def require_unique(df: DataFrame, keys: Sequence[str] | None = None, message: st
     return df
 
 
+def unique_when_read(df: DataFrame, keys: Sequence[str], message: str = "Duplicate observations found: ") -> DataFrame:
+    """``df`` as it is, whose rows raise as they are made if their key is there again. Costs no job of its own, nor an exchange where ``df`` is dealt by its keys."""
+    rows, shown = "_rows_of_key", F.concat_ws(", ", *(F.col(f"`{k}`").cast("string") for k in keys))
+    counted = df.withColumn(rows, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.when(F.col(rows) > 1, F.raise_error(F.concat(F.lit(message), shown)).cast("boolean")).otherwise(True)).drop(rows)
+
+
 def repeat_masks(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``repeated`` (other rows have the key too) and ``again`` (a row before it in the order has it)."""
     same = Window.partitionBy(*keys)

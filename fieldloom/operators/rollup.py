@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, text
-from .contracts import checked_join, require_columns, require_rows, require_unique
+from .contracts import checked_join, require_columns, require_rows, require_unique, unique_when_read
 
 # Fixed values.
 REGION_STATE = {"sao_paulo": "SP"}
@@ -83,9 +83,13 @@ def harvest_summary(history: DataFrame, regions: dict[str, str] | None = None, r
 
 
 def weather_harvest(weather: DataFrame, harvest: DataFrame, checked: bool = True) -> DataFrame:
-    """Weather of the growing season beside the harvest to date."""
+    """Weather of the growing season beside the harvest to date, one row of each by state and season.
+
+    ``checked`` raises before the join and wants rows in the result; otherwise the contract of the keys is part of the plan.
+    """
     keys = ["state", "harvest_season"]
-    joined = checked_join(weather, harvest, keys) if checked else weather.join(harvest, keys)
+    sides = [unique_when_read(df, keys, f"Merge keys are not unique in the {name} dataset: ") for df, name in ((weather, "left"), (harvest, "right"))]
+    joined = checked_join(weather, harvest, keys) if checked else sides[0].join(sides[1], keys)
     start = calendar.season_start_year(F.col("harvest_season"))
     out = joined.withColumns(
         {"growing_season_start": calendar.growing_season_start(start), "growing_season_end": calendar.growing_season_end(start), "weather_source": F.lit(WEATHER_SOURCE), "harvest_source": F.lit(HARVEST_SOURCE)}

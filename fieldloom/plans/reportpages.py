@@ -19,6 +19,7 @@ from .panel import SHIFT, moved, table
 
 #: Size of a page; of its letters, whose widths are all 600 of 1000.
 WIDTH, HEIGHT, SIZE, LETTER = 900, 600, 8, 0.6
+# The title of the table's page, and its headers with their places on this page.
 TITLE = "Histórico da moagem quinzenal, ACUMULADA, da região Centro-Sul"
 #: Left ends of the words of a cell, by column.
 CELLS = tuple((c - 100, c - 30, c + 40) for c in (280, 510, 740))

@@ -119,3 +119,13 @@ def test_appended_reports(spark, tmp_path):
     assert observed.append_report(store, frame(spark, B))["added"] == 0 and store.current() == "two" and store.names() == ["one", "two"]
     with pytest.raises(ValueError, match="in use"):
         store.discard("one")
+
+
+def test_keys_that_raise_as_rows_are_made(spark):
+    df = frame(spark, A, B, C)
+    assert sorted(r.crush_tonnes for r in contracts.unique_when_read(df, ["season", "period_end_date", "region"]).collect()) == [5, 6, 7]
+    with pytest.raises(Exception, match="twice: 25-26, 2025-05-01"):
+        contracts.unique_when_read(df, ["season", "period_end_date"], "twice: ").collect()
+    assert contracts.unique_when_read(df.where("false"), ["season"]).count() == 0
+    masks = contracts.repeat_masks(df, ["season", "period_end_date"], ["crush_tonnes"]).collect()
+    assert sorted((r.crush_tonnes, r.repeated, r.again) for r in masks) == [(5, False, False), (6, True, False), (7, True, True)]
