@@ -7,12 +7,16 @@ and the links of the SimHash index. The shingle sets of every candidate are
 compared before it is a link; the components of the links are the groups.
 
 No key emits all its pairs: each node is first compared with the least node of
-one of its keys; then only nodes that share a key, lie in different components
-and have sets of similar size are compared, all of them.
+one of its keys; nodes of keys that still have several components are compared with
+two nodes of each such key; then only nodes that share a key, lie in different
+components and have sets of similar size are compared, all of them.
 
 Defined results: null and empty texts are copies of each other; rows without an
 id may link others, but are never dropped; a row is told by its id and text, so
-rows that repeat an id with different texts are rows of their own.
+rows that repeat an id with different texts are rows of their own; of rows of equal
+id and text the one whose columns have the least hash stays; ties go to the least id;
+an empty table gives an empty one; texts are read whole, in time proportional to their
+length; other columns stay, but none may be called ``_t`` or ``_r``.
 """
 
 from __future__ import annotations
@@ -86,17 +90,34 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint, ok boolean")
 
 
-def _meeting(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different ``parts`` and whose sizes allow the similarity."""
+def _apart(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (key, h, n, component) of the keys whose nodes lie in several ``parts``."""
     placed = met.join(parts.withColumnRenamed("id", "h"), "h", "left").select("key", "h", "n", F.coalesce("component", "h").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
-    placed = placed.join(mixed, "key", "left_semi")
-    other = placed.select("key", *(F.col(c).alias(f"{c}2") for c in ("h", "n", "component")))
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _pairs(placed: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components and whose sizes allow the similarity."""
+    other = other.select("key", *(F.col(c).alias(f"{c}2") for c in ("h", "n", "component")))
     sizes = F.least("n", "n2") >= F.greatest("n", "n2") * SIMILARITY - 1e-9
-    pairs = placed.join(other, "key").where((F.col("component") < F.col("component2")) & sizes)
+    pairs = placed.join(other, "key").where((F.col("component") != F.col("component2")) & sizes)
     return pairs.select(F.greatest("h", "h2").alias("a"), F.least("h", "h2").alias("b")).distinct()
 
 
+def _starred(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each node with two nodes of each of its keys."""
+    placed = durable.keep(_apart(met, parts).withColumn("turn", F.xxhash64("key", "h")))
+    ends = placed.groupBy("key").agg(F.min("turn").alias("low"), F.max("turn").alias("high")).select("key", F.explode(F.array("low", "high")).alias("turn"))
+    return _pairs(placed, placed.join(ends, ["key", "turn"], "left_semi"))
+
+
+def _meeting(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """All nodes of a key."""
+    placed = durable.keep(_apart(met, parts))
+    return _pairs(placed, placed)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``t``, ``h`` and ``component`` of every row."""
     found = durable.keep(sketches(docs, id_col, text_col))
@@ -115,12 +136,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     judged = durable.keep(_verified(durable.keep(stars.union(drawn).distinct()), nodes, docs, text_col))
     links = judged.where("ok").select("a", "b")
-    parts = components(links)
-    again = durable.keep(_meeting(met, parts).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-    if not again.isEmpty():
+    parts, seen = components(links), judged.select("a", "b")
+    for meet in (_starred, _meeting):
+        again = durable.keep(meet(met, parts).join(seen, ["a", "b"], "left_anti"))
+        if again.isEmpty():
+            continue
         more = durable.keep(_verified(again, nodes, docs, text_col).where("ok").select("a", "b"))
+        seen = seen.unionByName(again)
         if not more.isEmpty():
-            parts = components(links.union(more))
+            links = links.union(more)
+            parts = components(links)
     named = found.select(id_col, "t", "h").join(parts.withColumnRenamed("id", "h"), "h", "left")
     return named.select(id_col, "t", "h", F.coalesce("component", "h").alias("component"))
 
@@ -129,5 +154,7 @@ def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The row of the least id of each group of near copies, and the rows without an id."""
     groups = near_copies(docs, id_col, text_col).where(F.col(id_col).isNotNull())
     first = groups.groupBy("component").agg(F.min(F.struct(id_col, "t")).alias("first")).select(f"first.{id_col}", F.col("first.t").alias("_t"))
-    kept = docs.withColumn("_t", F.xxhash64(text_col)).join(first, [id_col, "_t"], "left_semi").dropDuplicates([id_col, "_t"])
+    rows = docs.withColumn("_t", F.xxhash64(text_col)).withColumn("_r", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    one = rows.select(id_col, "_t", "_r").join(first, [id_col, "_t"], "left_semi").groupBy(id_col, "_t").agg(F.min("_r").alias("_r"))
+    kept = rows.join(one, [id_col, "_t", "_r"], "left_semi").dropDuplicates([id_col, "_t", "_r"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

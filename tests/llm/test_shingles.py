@@ -50,3 +50,27 @@ def test_pipeline_drops_near_copies_and_keeps_rows(spark, tmp_path):
     made = [(1, " ".join(base), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (1, " ".join(other), "en", "s", 1), (1, " ".join(base), "en", "s", 1)]
     left = pipeline.near_dedup(spark, corpus.frame(spark, made), str(tmp_path)).collect()
     assert sorted((x.doc_id, x.text) for x in left) == sorted([(1, " ".join(base)), (1, " ".join(other))])
+
+
+def test_rows_of_equal_id_and_text_leave_a_defined_one(spark):
+    """Of rows that differ in other columns alone one stays, the same whatever the order of rows."""
+    text = "one and the same text of some more words than five"
+    every = [(7, text, "en", "a", 1), (7, text, "de", "b", 1), (8, text, "fr", "c", 1), (7, "quite another text under the id of the others here", "en", "a", 1)]
+    kept = []
+    for some in (every, every[::-1]):
+        kept.append(sorted(tuple(x) for x in shingles.first_copies(corpus.frame(spark, some)).collect()))
+    assert kept[0] == kept[1] and len(kept[0]) == 2 and {x[0] for x in kept[0]} == {7}
+
+
+def test_empty_table(spark):
+    assert shingles.first_copies(corpus.frame(spark).limit(0)).count() == 0
+
+
+def test_nodes_of_one_key_that_are_apart_are_joined_by_stars(spark):
+    """Two families that share a key: stars join each, and no link is lost."""
+    met = spark.createDataFrame([(1, h, 10, 0) for h in range(40)], "key long, h long, n long, h0 long")
+    none = spark.createDataFrame([], "id long, component long")
+    stars = shingles._starred(met, none).collect()
+    assert len(stars) == 39 + 38 and len({x.a for x in stars} | {x.b for x in stars}) == 40
+    assert shingles._meeting(met, none).count() == 40 * 39 // 2
+    assert shingles._meeting(met, spark.createDataFrame([(h, 0) for h in range(40)], "id long, component long")).count() == 0
