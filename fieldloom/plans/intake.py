@@ -14,7 +14,7 @@ from .catalog import _JOINED, _MONTH, _seasons, query
 from .panel import DAILY_SQL, HISTORY_SQL, SHIFT, daily, moved, table
 from .panel import history as harvest
 from .reportpages import CELLS, HEADS, SIZE, TITLE, TOTALS_SQL, report_documents
-from .sheets import workbooks
+from .sheets import write_workbooks
 
 _DOTTED = "replace(format('{{:,}}', {}), ',', '.')"
 _CELL_X = [f"CASE place {' '.join(f'WHEN {k} THEN {c[i]}' for k, c in enumerate(CELLS))} END" for i in range(3)]
@@ -60,7 +60,7 @@ def workbook_rows(spark, sf_dir):
     day = moved("o_orderdate")
     orders = table(spark, sf_dir, "orders").select(F.year(day).alias("year"), F.col("o_orderkey").alias("ORDER & KEY"), day.alias("DAY"), F.lit("not wanted").alias("NOTE"), F.col("o_totalprice").cast("double").alias("PRICE"), F.col("o_orderpriority").alias("PRIORITY"))
     with shared.scratch(spark) as folder:
-        shared.write_files(workbooks(orders, "year", ["ORDER & KEY"], "orders", preamble=3, others={"cover": [["nothing"]]}), folder)
+        write_workbooks(orders, "year", ["ORDER & KEY"], "orders", folder, preamble=3, others={"cover": [["nothing"]]})
         read = workbook.read_sheet(spark, folder, "orders", header_row=3, columns=["ORDER & KEY", "DAY", "PRICE", "PRIORITY"], rows_per_partition=1000)
         typed = read.select(F.col("ORDER & KEY").alias("order_key"), F.col("DAY").cast("date").alias("day"), F.col("PRICE").cast("double").alias("price"), F.col("PRIORITY").alias("priority"), F.element_at(F.split("_file", "/"), -1).alias("file"))
         return shared.keep(typed)
@@ -72,7 +72,7 @@ def workbook_crush(spark, sf_dir):
     region = F.when(F.col("region") == "sao_paulo", " SÃO PAULO").otherwise("DEMAIS ESTADOS ")
     rows = harvest(spark, sf_dir).where("region <> 'centre_south'").select("season", F.concat(F.lit(" "), F.col("season")).alias("SAFRA"), F.col("period_end_date").alias("QUINZENA"), region.alias("REGIÃO"), F.col("crush_tonnes").alias("MOAGEM"))
     with shared.scratch(spark) as folder:
-        shared.write_files(workbooks(rows, "season", ["QUINZENA", "REGIÃO"], "TB_02", preamble=8), folder)
+        write_workbooks(rows, "season", ["QUINZENA", "REGIÃO"], "TB_02", folder, preamble=8)
         raw = workbook.read_sheet(spark, folder, "TB_02", header_row=8, rows_per_partition=16)
         made = shared.keep(tables.period_table(raw, tables.CRUSH_COLUMNS))
     return tables.check_period_table(made, "crush_tonnes")

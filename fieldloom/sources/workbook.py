@@ -2,7 +2,7 @@
 
 ``spark.read.format("workbook")`` reads one sheet, or all, of every workbook under a path. A
 partition is a file, a sheet and a range of its rows, as planned by the sheet's stated
-dimension; it streams the sheet's XML and holds one batch of rows at a time, besides
+dimension (a range reads past the rows before it, so a sheet has at most ``RANGES``, longer than asked for if need be); it streams the sheet's XML and holds one batch of rows at a time, besides
 the workbook's table of shared strings. Values are texts, dates ``YYYY-MM-DD``; ``_file`` and ``_sheet`` tell where a row comes from.
 
 Options: ``sheet`` (a name, ``#0`` for a place, ``*`` for all; default the first), ``headerRow`` (from
@@ -30,6 +30,10 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Number formats that show dates, besides those with day, month or year letters.
 _DATE_FORMATS = frozenset((14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47))
 ROWS, BATCH = 50_000, 4096
+#: Ranges of a sheet at most: with more, what they read past would grow with the square of the rows.
+RANGES = 8
+#: Bytes of a sheet that are looked at at a time for the row at which a range begins.
+BLOCK = 1 << 20
 PLACES = ("_file", "_sheet")
 
 
@@ -40,6 +44,29 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+class _Later:
+    """A sheet's stream without rows before ``first``, as far as their numbers tell them without parsing."""
+
+    def __init__(self, stream: BinaryIO, first: int):
+        self.stream, self.first = stream, first
+
+    def read(self, size: int) -> bytes:
+        if not self.first:
+            return self.stream.read(size)
+        first, self.first = self.first, 0
+        held = self.stream.read(BLOCK)
+        start = held.find(b"<row ")
+        head, held = (held[:start], held[start:]) if start >= 0 else (b"", held)
+        while block := self.stream.read(BLOCK):
+            # The last whole row, which states its number as those after it may not; comments and the like could hold anything.
+            last = held.rfind(b"<row ", 0, max(held.rfind(b"</row>"), 0))
+            stated = re.match(rb'<row r="(\d+)"', held[last : last + 32]) if last >= 0 and b"<!" not in held else None
+            if not stated or int(stated[1]) > first:
+                return head + held + block
+            held = held[last:] + block
+        return head + held
+
+
 class Workbook:
     """A workbook in an open file."""
 
@@ -63,11 +90,11 @@ class Workbook:
             raise ValueError(f"Expected sheet '{sheet}' was not found. Available sheets: {names}")
         return [sheet]
 
-    def _elements(self, sheet: str, tags: tuple[str, ...]) -> Iterator[ElementTree.Element]:
+    def _elements(self, sheet: str, tags: tuple[str, ...], first: int = 0) -> Iterator[ElementTree.Element]:
         target = self.sheets[sheet]
         with self.zip.open(target if target.startswith("xl/") else f"xl/{target}") as stream:
             above = []
-            for event, element in ElementTree.iterparse(stream, ("start", "end")):
+            for event, element in ElementTree.iterparse(_Later(stream, first), ("start", "end")):
                 if event == "start":
                     above.append(element)
                     continue
@@ -87,7 +114,7 @@ class Workbook:
     def rows(self, sheet: str, first: int = 0, last: int | None = None, wanted: set[int] | None = None) -> Iterator[tuple[int, list[str | None]]]:
         """``(number, cells)`` of the rows from ``first`` to before ``last`` that the sheet has, from 0. Cells that aren't wanted are None."""
         number = -1
-        for row in self._elements(sheet, (f"{_NS}row",)):
+        for row in self._elements(sheet, (f"{_NS}row",), first):
             number = int(row.get("r", number + 2)) - 1
             if last is not None and number >= last:
                 return
@@ -195,7 +222,8 @@ class WorkbookReader(DataSourceReader):
         for file in self.source._files():
             with opened(file) as book:
                 for sheet in book.chosen(self.source.sheet):
-                    edges = [*range(start, max(book.last_row(sheet) or 0, start + 1), step)]
+                    stop = max(book.last_row(sheet) or 0, start + 1)
+                    edges = [*range(start, stop, max(step, -(-(stop - start) // RANGES)))]
                     # The last range takes whatever follows, as a stated dimension may be too small.
                     out += [Range(file, sheet, a, b) for a, b in zip(edges, [*edges[1:], None], strict=True)]
         return out

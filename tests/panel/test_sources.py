@@ -1,8 +1,10 @@
 import datetime
+import io
 
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.plans import sheets
 from fieldloom.plans.sheets import workbook as book
 from fieldloom.sources import files, pages, sinks, weather, workbook
 
@@ -78,6 +80,29 @@ def test_workbooks_of_a_folder(spark, tmp_path):
         workbook.read_sheet(spark, str(tmp_path)).collect()
 
 
+def test_large_workbooks_are_streamed(spark, tmp_path, monkeypatch):
+    """A workbook's rows go to its file batch by batch, and the ranges of a sheet don't grow with it."""
+    monkeypatch.setattr(sheets, "SHARED", 2)
+    out = io.BytesIO()
+    made = sheets.Book(out)
+    made.sheet("s", ([k, f"text {k} <&>"] for k in range(-1, 4)), 5)
+    made.close()
+    assert [row for _, row in workbook.Workbook(out).rows("s")] == [[str(k), f"text {k} <&>"] for k in range(-1, 4)]
+
+    for first in (0, 1, 3, 4):  # what is skipped unread, by blocks of any size
+        for block in (1, 7, 40, 200, 1000):
+            monkeypatch.setattr(workbook, "BLOCK", block)
+            assert [row for _, row in workbook.Workbook(out).rows("s", first)] == [[str(k), f"text {k} <&>"] for k in range(first - 1, 4)]
+    monkeypatch.undo()
+
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("name"), "id", F.concat(F.lit("t"), F.col("id")).alias("t"))
+    assert sheets.write_workbooks(rows, "name", ["id"], "s", f"file://{tmp_path}", preamble=3) == 2
+    read = workbook.read_sheet(spark, f"file://{tmp_path}", "s", header_row=3, rows_per_partition=10)
+    assert read.rdd.getNumPartitions() == 2 * workbook.RANGES
+    got = read.agg(F.count("*"), F.sum("id"), F.sum((F.concat(F.lit("t"), "id") == F.col("t")).cast("int")), F.sum((F.col("_file").endswith(F.concat(F.col("id") % 2, F.lit(".xlsx")))).cast("int"))).first()
+    assert tuple(got) == (60_000, 60_000 * 59_999 / 2, 60_000, 60_000)
+
+
 def test_workbook_errors(spark, tmp_path):
     path = tmp_path / "b.xlsx"
     path.write_bytes(book(BOOK))
