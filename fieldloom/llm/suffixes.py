@@ -127,27 +127,30 @@ def segments_met(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes (at least): those that still agree are sorted again by ranks of doubled length."""
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    kind = np.int32 if n + 1 < 1 << 31 else np.int64
+    key = np.zeros(n + 8, np.uint64)
+    key[:n] = text
+    for k in (1, 2, 4):
+        key = (key[:-k] << np.uint64(8 * k)) | key[k:]
+    key = key[:n]
     order = np.argsort(key)
     ordered = key[order]
     new = np.append(True, ordered[1:] != ordered[:-1])
     # A rank is the place where its group begins, counted from one; zero lies behind the end.
-    rank = np.zeros(n + max(depth, 8), np.int64)
-    rank[order] = (np.flatnonzero(new) + 1)[np.cumsum(new) - 1]
-    places, reach = np.flatnonzero(~(new & np.append(new[1:], True))), 8
+    rank, places, own, reach = np.zeros(n + max(depth, 8), kind), np.arange(n), order, 8
     while reach < depth and len(places):
-        own = order[places]
-        pair = (rank[own] << 32) | rank[own + reach]
+        begin = np.flatnonzero(new)
+        of = np.repeat((places[begin] + 1).astype(kind), np.diff(np.append(begin, len(places))))
+        rank[own] = of
+        tied = ~(new & np.append(new[1:], True))
+        places, of, own = places[tied], of[tied], own[tied]
+        if not len(places):
+            break
+        pair = (of.astype(np.int64) << 32) | rank[own + reach]
         at = np.argsort(pair)
         own, pair = own[at], pair[at]
         order[places] = own
         new = np.append(True, pair[1:] != pair[:-1])
-        rank[own] = (places[new] + 1)[np.cumsum(new) - 1]
-        places = places[~(new & np.append(new[1:], True))]
         reach *= 2
     return order
 
@@ -166,18 +169,20 @@ def short_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     tag, serial = np.full(n + 2, -1, kind), 0  # shifted by one, so that no place lacks a neighbour
+    own_tag, next_tag, next_begins = tag[1:], tag[2:], begins[1:]
     low, high = np.zeros(1, kind), np.full(1, n - 1, kind)
     for _ in range(length):
         size = high - low + 1
         ends = np.cumsum(size, dtype=np.int64)
-        place = step[np.arange(ends[-1], dtype=kind) + np.repeat((low - (ends - size)).astype(kind), size)]
+        place = step[np.arange(ends[-1]) + np.repeat(low - (ends - size), size)]
         owner = np.repeat(np.arange(serial, serial + len(size), dtype=kind), size)
         serial += len(size)
         inside = place >= 0
         place, owner = place[inside], owner[inside]
-        tag[place + 1] = owner
-        first = (tag[place] != owner) | begins[place]
-        last = (tag[place + 2] != owner) | begins[place + 1]
+        at = place.astype(np.intp)
+        own_tag[at] = owner
+        first = (tag[at] != owner) | begins[at]
+        last = (next_tag[at] != owner) | next_begins[at]
         low, high = np.sort(place[first]), np.sort(place[last])
         new = ~known[high + 1]
         low, high = low[new], high[new]

@@ -125,3 +125,12 @@ def test_queries(spark, tmp_path):
     folder = corpus.saved(spark, tmp_path)
     assert phrases.op8_phrases(spark, folder).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
     assert suffixes.op9_suffixes(spark, folder).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_suffix_order_by_sorting():
+    r = random.Random(8)
+    for n, depth, letters in ((0, 9, b"ab"), (1, 51, b"a"), (300, 51, b"ab"), (400, 20, b"a"), (500, 8, b"abc"), (700, 51, bytes(range(256)))):
+        text = bytes(r.choices(letters, k=n)) * 2
+        order = suffixes.suffix_order(np.frombuffer(text, np.uint8), depth).tolist()
+        assert sorted(order) == list(range(len(text)))
+        assert [text[k : k + depth] for k in order] == sorted(text[k : k + depth] for k in range(len(text)))
