@@ -158,7 +158,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", landm
         yield pa.RecordBatch.from_arrays([pa.array([inner.tobytes()]), pa.array([right.tobytes()])], names=["inner", "right"])
 
     sums = [np.zeros((size, size)), np.zeros((size, len(languages)))]
-    for row in chosen.select("lang", "text").coalesce(12).mapInArrow(equations, "inner binary, right binary").toLocalIterator():
+    for row in chosen.select("lang", "text").coalesce(12).mapInArrow(arrays.tidy(equations), "inner binary, right binary").toLocalIterator():
         for total, part in zip(sums, row, strict=True):
             total += np.frombuffer(part).reshape(total.shape)
     among = kernel.rows([letters(r.text) for r in own if letters(r.text)]).astype(np.float64)
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     scores += found[1]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(arrays.tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -87,7 +87,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
             ok = [alike(p, q) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint, ok boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(arrays.tidy(judge), "a bigint, b bigint, ok boolean")
 
 
 def _apart(met: DataFrame, parts: DataFrame) -> DataFrame:

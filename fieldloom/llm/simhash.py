@@ -222,7 +222,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 rank = gray_rank(ordered(fp, order)) ^ (np.uint64(1) << np.uint64(63))  # signed order of longs
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), turn, np.int32)), pa.array(rank.astype(np.int64)), batch.column("fp")], names=["turn", "rank", "fp"])
 
-    turned = fps.select("fp").mapInArrow(turns, "turn int, rank bigint, fp bigint")
+    turned = fps.select("fp").mapInArrow(arrays.tidy(turns), "turn int, rank bigint, fp bigint")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaves = durable.keep(turned.repartitionByRange(count, "turn", "rank").sortWithinPartitions("turn", "rank").mapInArrow(lambda b: _leaves(b, radius, orders), _LEAVES))
 

@@ -52,3 +52,13 @@ def test_documents_without_id_stay(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert pipeline.near_dedup(spark, docs, folder).count() == 3
     assert pipeline.line_dedup(spark, docs, folder).where("doc_id is null").count() == 2
+
+
+def test_idle_workers_give_memory_back(monkeypatch):
+    from fieldloom.llm import arrays
+
+    done = []
+    monkeypatch.setattr(arrays.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(lambda _: done.append("trimmed"))}))
+    for batch in arrays.tidy(lambda batches: (b + 1 for b in batches))([1, 2]):
+        done.append(batch)
+    assert done == [2, 3, "trimmed"]
