@@ -210,6 +210,32 @@ def least_owner(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) ->
     return [result[a : a + w] for a, w in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
+def hits(judged: list[np.ndarray], text: np.ndarray, doc: np.ndarray, most: int = SHARD_BYTES):
+    """``(row, first window, window after the last)`` of the runs of windows of lesser owner, for rows that hold one of the ``judged`` texts each.
+
+    Rows are worked on together, of up to ``most`` windows in all, unless one row has more.
+    """
+    flat, windows = np.concatenate(judged), np.fromiter(map(len, judged), np.int64, len(judged))
+    begin, full = np.cumsum(windows) - windows, windows > 0
+    least = np.full(len(judged), np.iinfo(np.int64).max)
+    if full.any():
+        least[full] = np.minimum.reduceat(flat, begin[full])
+    rows = np.flatnonzero(least[text] < doc)
+    ends = np.cumsum(windows[text[rows]] + 1)
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        some, n = rows[a:b], windows[text[rows[a:b]]]
+        # A place after each row's last window, which is no hit, keeps rows apart.
+        row = np.repeat(np.arange(len(some)), n + 1)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        hit = (at < n[row]) & (flat[np.minimum(begin[text[some]][row] + at, len(flat) - 1)] < doc[some][row])
+        before = np.append(False, hit[:-1])
+        first, last = np.flatnonzero(hit & ~before), np.flatnonzero(before & ~hit)
+        yield some[row[first]], at[first], at[last]
+        a = b
+
+
 def decide(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """Spans to remove among pieces of text; only those of equal anchor are compared for sure."""
     numbers: dict[bytes, int] = {}
@@ -235,16 +261,14 @@ def decide(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarr
             total += lengths[order[b]]
             b += 1
         part = order[a:b]
-        for k, least in zip(part.tolist(), least_owner([distinct[k] for k in part], owner[part], length), strict=True):
-            own = rows[rows_at[k] : rows_at[k + 1]]
-            for limit in np.unique(doc[own]).tolist():
-                hit = np.concatenate([[False], least < limit, [False]])
-                edges = np.flatnonzero(hit[1:] != hit[:-1])
-                if len(edges):
-                    some = own[doc[own] == limit]
-                    n = len(edges) // 2
-                    for column, values in zip(out, (np.full(n * len(some), limit), np.repeat(key[some], n), (start[some][:, None] + edges[None, ::2]).ravel(), (start[some][:, None] + edges[None, 1::2] + length - 1).ravel()), strict=True):
-                        column.append(values)
+        judged = least_owner([distinct[k] for k in part], owner[part], length)
+        counts = rows_at[part + 1] - rows_at[part]
+        text = np.repeat(np.arange(len(part)), counts)
+        own = rows[np.repeat(rows_at[part] - (np.cumsum(counts) - counts), counts) + np.arange(len(text))]
+        for row, first, last in hits(judged, text, doc[own]):
+            some = own[row]
+            for column, values in zip(out, (doc[some], key[some], start[some] + first, start[some] + last + length - 1), strict=True):
+                column.append(values)
         a = b
     return repeats.spans_of(*(np.concatenate(c) for c in out))
 

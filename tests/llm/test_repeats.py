@@ -134,3 +134,14 @@ def test_suffix_order_by_sorting():
         order = suffixes.suffix_order(np.frombuffer(text, np.uint8), depth).tolist()
         assert sorted(order) == list(range(len(text)))
         assert [text[k : k + depth] for k in order] == sorted(text[k : k + depth] for k in range(len(text)))
+
+
+def test_runs_of_windows_of_all_rows_at_once():
+    """Rows that hold one text are judged by their own documents, in parts of any size."""
+    r = random.Random(4)
+    judged = [np.array([r.randrange(6) for _ in range(n)], np.int64) for n in (5, 0, 1, 40, 7)]
+    text = np.array([r.randrange(5) for _ in range(60)])
+    doc = np.array([r.randrange(7) for _ in text], np.int64)
+    want = [(k, m.start(), m.end()) for k, (t, d) in enumerate(zip(text.tolist(), doc.tolist(), strict=True)) for m in re.finditer(b"\1+", bytes((judged[t] < d).astype(np.uint8)))]
+    for most in (1, 9, 100, 10**6):
+        assert [tuple(map(int, x)) for part in suffixes.hits(judged, text, doc, most) for x in zip(*part, strict=True)] == want
